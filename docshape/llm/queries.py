@@ -1,24 +1,63 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fingerprints, licenses, mixing, packing, pii, quality, simhash_dedup, substring_dedup, token_counts, topk
 from .common import read
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash_dedup import near_duplicates
+    return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
 
-    return near_duplicates(read(spark, sf_dir, "documents"))
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprints import document_fingerprints
+    return fingerprints.document_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "digest", "licence", "array_join(line_licences, ',') AS line_licences")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
-    return document_fingerprints(read(spark, sf_dir, "documents"))
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_document_fingerprints)}
 
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_dedup, op2_token_counts, op3_best_fit_packing, op4_document_fingerprints, op5_quality, op6_mixing, op7_license_scan, op8_top_k, op9_repeated_substrings, op10_pii)
+}
 ORACLE: dict[str, str] = {}
