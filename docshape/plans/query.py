@@ -149,7 +149,7 @@ class _Plan:
         self.outputs_named = {a for _, a in s.items if a}
         self.canonical()
         self.needed = {a: set() for a in self.tables}
-        every = [x for x, _ in s.items] + [c for *_, c in s.joins] + [s.where, s.having, *s.group, *[o[0] for o in s.order]]
+        every = [*self.items] + [c for *_, c in s.joins] + [s.where, s.having, *s.group, *[o[0] for o in s.order]]
         for x in every:
             for n in walk(x):
                 if n[0] == "col" and n[1] in self.needed:
