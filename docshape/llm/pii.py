@@ -256,6 +256,8 @@ def find(docs: DataFrame, keep: list[str] | None = None, text: str = "text", mas
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span in the text replaced by its kind; a null text stays null, other columns stay."""
-    rest = [c for c in docs.columns if c != text]
-    got = find(docs.withColumn("_none", F.col(text).isNull()), [*rest, "_none"], text, masks=True)
-    return got.select(*[F.when(F.col("_none"), F.lit(None)).otherwise(F.col("masked")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name can clash
+    at = f"c{names.index(text)}"
+    got = find(plain.withColumn("none", F.col(at).isNull()), [*[c for c in plain.columns if c != at], "none"], at, masks=True)
+    return got.select(*[(F.when(~F.col("none"), F.col("masked")) if c == at else F.col(c)).alias(n) for c, n in zip(plain.columns, names)])
