@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, worker_state
+from .tokens import Encoder
 
 CAPACITY = 4096
 END = b"\x01\x00\x00\x00"
@@ -38,8 +39,6 @@ _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 def _piecer(path: str, capacity: int):
     def run(batches):
-        from docshape.llm.tokens import Encoder
-
         state = worker_state()
         encode = state.__dict__.setdefault("encoders", {}).get(path) or state.encoders.setdefault(path, Encoder(path))
         step = 4 * capacity

@@ -74,8 +74,6 @@ class WordCounts(dict):
 
 def _counter(path: str):
     def run(batches):
-        from docshape.llm.token_counts import WordCounts, vocabulary
-
         known = worker_state().__dict__.setdefault("unigrams", {})
         if path not in known:
             known[path] = WordCounts(vocabulary(path))
