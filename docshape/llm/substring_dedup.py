@@ -9,6 +9,10 @@ with the run's last suffix, and the rest).  A loser tree merges the runs of a
 bucket and compares only beyond prefixes known to be equal; its output carries
 the common-prefix lengths of neighbours.  Stretches that share the anchor's
 prefix are then resolved window by window, exactly, on their bytes.
+
+What repeats within one run is settled there: the run then sends its content
+once, without owners, so a passage that a third of all texts share reaches a
+bucket once a run and not once a text.
 """
 
 from __future__ import annotations
@@ -22,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WRITTEN, shared_dir, shuffle_partitions, worker_state
+from .common import _WRITTEN, checkpoint, shared_dir, shuffle_partitions, worker_state
 
 WINDOW = 200
 GRAM = 64
 _PLACES = WINDOW - GRAM + 1
 #: Window starts per stretch of text that is hashed at once.
 _STRETCH = 1 << 20
-#: Anchors that occur more often are cut into groups of STEP windows, so that no class of different contexts is large.
+#: Anchors that occur more often are cut into groups of STEP windows, so that no class of different contexts is large,
 HOT = 512
 STEP = 16
+#: and those that occur more often still into single windows, which are in one class only if they are equal.
+VERY_HOT = 16_384
+#: The kinds of runs: suffixes at anchors, groups of windows, single windows; and spans that need no merging.
+_STEPS = {1: STEP, 2: 1}
+_SETTLED = 3
 #: Suffixes that a task sorts into one run.
 RUN = 200_000
 _POS = np.uint64((1 << 24) - 1)
@@ -202,19 +211,19 @@ def merge(runs: list):
 
 
 def resolve(group: dict, found: list) -> None:
-    """Of items (left, right, lo, hi): owners that share an anchor's prefix, adds (owner, first byte, end) of repeated windows."""
+    """Of items (left, right, lo, hi): [times, owners] that share an anchor's prefix, adds (owner, first byte, end) of repeated windows."""
     if len(group) == 1:
-        ((left, right, lo, hi), owners), = group.items()
-        if len(owners) > 1:
+        ((left, right, lo, hi), (times, owners)), = group.items()
+        if times > 1:
             found += [(key, a - hi, a - lo + WINDOW) for key, a in owners]
         return
     seen: dict = {}
-    for (left, right, lo, hi), owners in group.items():
-        s, w = left + right, min(2, len(owners))
+    for (left, right, lo, hi), (times, _) in group.items():
+        s, w = left + right, min(2, times)
         for p in range(hi - lo + 1):
             x = s[p : p + WINDOW]
             seen[x] = seen.get(x, 0) + w
-    for (left, right, lo, hi), owners in group.items():
+    for (left, right, lo, hi), (_, owners) in group.items():
         s, start = left + right, None
         for p in range(hi - lo + 2):
             again = p <= hi - lo and seen[s[p : p + WINDOW]] > 1
@@ -228,45 +237,62 @@ def resolve(group: dict, found: list) -> None:
 def repeats(runs: list, core: int) -> list:
     """(owner, first byte, end) of the repeated windows among the items of sorted runs whose classes share ``core`` bytes."""
     found, group = [], {}
-    for n, right, (left, lo, hi, owners) in merge(runs):
+    for n, right, (left, lo, hi, times, owners) in merge(runs):
         if n < core and group:
             resolve(group, found)
             group = {}
-        group.setdefault((left, right, lo, hi), []).extend(owners)
+        have = group.setdefault((left, right, lo, hi), [0, []])
+        have[0] += times
+        have[1] += owners
     if group:
         resolve(group, found)
     return found
 
 
+def _core(kind: int) -> int:
+    """The bytes that a class of this kind shares at least."""
+    return WINDOW - _STEPS[kind] + 1 if kind else GRAM
+
+
+def _bucket(data: bytes, buckets: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest()) % buckets
+
+
 def _runs(buckets: int):
     def flush(items: dict):
         out: dict = {}
+        settled: dict = {}
         for (kind, left, right, lo, hi), owners in items.items():
-            core = GRAM if kind == 0 else WINDOW - STEP + 1
-            bucket = int.from_bytes(hashlib.blake2b(right[:core], digest_size=8).digest()) % buckets
-            out.setdefault((bucket, kind), []).append((right, left, lo, hi, owners))
-        names = sorted(out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in names], pa.int32()), pa.array([k for _, k in names], pa.int32()), pa.array([front_code(out[x]) for x in names], pa.binary())], names=["bucket", "kind", "run"]
-        )
+            if len(owners) > 1:
+                for key, a in owners:
+                    settled.setdefault(key, []).append((a - hi, a - lo + WINDOW))
+            out.setdefault((_bucket(right[: _core(kind)], buckets), kind), []).append((right, left, lo, hi, min(2, len(owners)), owners if len(owners) == 1 else []))
+        rows = [(bucket, kind, front_code(run)) for (bucket, kind), run in sorted(out.items())]
+        spans: dict = {}
+        for key, found in settled.items():
+            spans.setdefault(_bucket(key, buckets), []).extend((key, s, e) for s, e in union(found))
+        rows += [(bucket, _SETTLED, marshal.dumps(found)) for bucket, found in spans.items()]
+        cols = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "run"])
 
     def run(batches):
         items, n = {}, 0
         for batch in batches:
             for key, t, cells in zip(*(batch.column(c).to_pylist() for c in ("_key", "_t", "cells"))):
                 for c in cells:
-                    a, lo, hi, hot = c["a"], c["lo"], c["hi"], c["hot"]
-                    if not hot:
+                    a, lo, hi, kind = c["a"], c["lo"], c["hi"], c["kind"]
+                    if not kind:
                         items.setdefault((0, t[a - hi : a], t[a : a - lo + WINDOW], lo, hi), []).append((key, a))
                         n += 1
-                        continue
-                    for j in range(lo // STEP, hi // STEP + 1):
-                        at, x, y = a - STEP * j, max(lo - STEP * j, 0), min(hi - STEP * j, STEP - 1)
-                        items.setdefault((1, t[at - y : at], t[at : at - x + WINDOW], x, y), []).append((key, at))
-                        n += 1
-                if n >= RUN:
-                    yield flush(items)
-                    items, n = {}, 0
+                    else:
+                        step = _STEPS[kind]
+                        for j in range(lo // step, hi // step + 1):
+                            at, x, y = a - step * j, max(lo - step * j, 0), min(hi - step * j, step - 1)
+                            items.setdefault((kind, t[at - y : at], t[at : at - x + WINDOW], x, y), []).append((key, at))
+                            n += 1
+                    if n >= RUN:
+                        yield flush(items)
+                        items, n = {}, 0
         if items:
             yield flush(items)
 
@@ -274,8 +300,8 @@ def _runs(buckets: int):
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    kind = table.column("kind")[0].as_py()
-    found = repeats([read_run(r) for r in table.column("run").to_pylist()], GRAM if kind == 0 else WINDOW - STEP + 1)
+    kind, runs = table.column("kind")[0].as_py(), table.column("run").to_pylist()
+    found = [x for r in runs for x in marshal.loads(r)] if kind == _SETTLED else repeats([read_run(r) for r in runs], _core(kind))
     return pa.table({"_key": pa.array([k for k, _, _ in found], pa.binary()), "s": pa.array([s for _, s, _ in found], pa.int64()), "e": pa.array([e for _, _, e in found], pa.int64())})
 
 
@@ -328,9 +354,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_t")).withColumn("_key", F.unhex(F.md5("_t")))
     texts = _placed(src.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_t").alias("_t")), "_key", parts)
     long = texts.where(F.length("_t") >= WINDOW).select("_key", "_t")
-    again = long.select("_t").mapInArrow(_anchor_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    # Kept apart from the join, so that adaptive execution may split the rows of an anchor that very many texts have.
+    again = checkpoint(long.select("_t").mapInArrow(_anchor_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    kind = F.when(F.col("n") > VERY_HOT, 2).when(F.col("n") > HOT, 1).otherwise(0)
     rows = long.mapInArrow(_anchor_rows, "h bigint, _key binary, a bigint, lo smallint, hi smallint")
-    cells = rows.join(again, "h").select("_key", F.struct("a", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("c")).groupBy("_key").agg(F.collect_list("c").alias("cells"))
+    cells = rows.join(again, "h").select("_key", F.struct("a", "lo", "hi", kind.alias("kind")).alias("c")).groupBy("_key").agg(F.collect_list("c").alias("cells"))
     runs = long.join(cells, "_key").mapInArrow(_runs(2 * parts), "bucket int, kind int, run binary")
     spans = runs.groupBy("bucket", "kind").applyInArrow(_merge_bucket, "_key binary, s bigint, e bigint")
     of_text = spans.groupBy("_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))

@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,9 +317,10 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_repeated_substrings(spark, wide, none, monkeypatch, hot):
+@pytest.mark.parametrize("hot, very_hot", [(512, 16_384), (1, 16_384), (1, 1)])
+def test_repeated_substrings(spark, wide, none, monkeypatch, hot, very_hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "VERY_HOT", very_hot)
     monkeypatch.setattr(substring_dedup, "RUN", 40)
     got = substring_dedup.remove_repeats(wide).collect()
     rows = odd_rows()
@@ -326,6 +329,38 @@ def test_repeated_substrings(spark, wide, none, monkeypatch, hot):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot, very_hot, run", [(512, 16_384, 40), (1, 16_384, 40), (1, 1, 7), (1, 1, 100_000)])
+def test_runs_and_merging(monkeypatch, hot, very_hot, run):
+    """Anchors to spans without Spark: what a run settles and what its bucket finds make up all repeats."""
+    monkeypatch.setattr(substring_dedup, "RUN", run)
+    rng = random.Random(11)
+    text = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    p = text(420)
+    texts = [text(i % 50) + p[i % 40 : 420 - i % 30] + text(i % 70) for i in range(30)] + [text(300), b"ab" * 300]
+    seen = collections.Counter()
+    cells = collections.defaultdict(list)
+    for g in substring_dedup._stretches(texts):
+        for k, a, lo, hi, h in zip(*(x.tolist() for x in substring_dedup.anchors([x for _, _, x in g]))):
+            seen[h] += 1
+            cells[g[k][0]].append({"a": a + g[k][1], "lo": lo, "hi": hi, "h": h})
+    for found in cells.values():
+        for c in found:
+            n = seen[c["h"]]
+            c["kind"] = 2 if n > very_hot else 1 if n > hot else 0
+    names = [str(i).encode() for i in range(len(texts))]
+    kinds = pa.list_(pa.struct([("a", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("h", pa.uint64()), ("kind", pa.int32())]))
+    rows = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary()), pa.array([cells[i] for i in range(len(texts))], kinds)], names=["_key", "_t", "cells"])
+    runs = pa.Table.from_batches(list(substring_dedup._runs(3)([rows])))
+    spans = collections.defaultdict(list)
+    for where in {(b, k) for b, k in zip(*(runs.column(c).to_pylist() for c in ("bucket", "kind")))}:
+        mine = runs.filter(pc.and_(pc.equal(runs.column("bucket"), where[0]), pc.equal(runs.column("kind"), where[1])))
+        for r in substring_dedup._merge_bucket(mine).to_pylist():
+            spans[r["_key"]].append((r["s"], r["e"]))
+    for name, w in zip(names, brute_repeats(texts)):
+        u = substring_dedup.union(spans[name])
+        assert (sum(e - s for s, e in u), len(u)) == w[1:3]
+
+
 def test_repeats_at_every_offset():
     """Passages of about the window's length in other surroundings, cut out of each other at all offsets, stretches included."""
     rng = random.Random(8)
@@ -341,7 +376,7 @@ def test_repeats_at_every_offset():
                 part, at, lo, hi, _ = substring_dedup.anchors([x for _, _, x in g])
                 for k, a, x, y in zip(part.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
                     i, a = g[k][0], a + g[k][1]
-                    items[i % 3].append((texts[i][a : a - x + 200], texts[i][a - y : a], x, y, [(i, a)]))
+                    items[i % 3].append((texts[i][a : a - x + 200], texts[i][a - y : a], x, y, 1, [(i, a)]))
             runs = [substring_dedup.read_run(substring_dedup.front_code(v)) for v in items.values()]
             spans = collections.defaultdict(list)
             for i, s, e in substring_dedup.repeats(runs, substring_dedup.GRAM):
