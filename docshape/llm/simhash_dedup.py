@@ -89,11 +89,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     fps = checkpoint(fingerprints(docs, {"_id": F.col(id_col), "_row": digest}, text, width))
     named = classes(fps)
-    kept = (
-        fps.join(named, "fp").groupBy("class")
-        .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"))
-        .select(F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
-    )
+    # The first row of each fingerprint before the join: copies of one text, however many, come to it as one row.
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"))
+    kept = first.join(named, "fp").groupBy("class").agg(F.min("k").alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     rows = docs.withColumn("_row", digest)
-    hit = rows.join(kept, (F.col("_row") == F.col("_kept_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
+    # Joined by the digest alone, ids being compared after it: the rows then lie as dropDuplicates needs them and texts move once.
+    same = F.when(F.col(f"`{id_col}`").isNull(), F.col("_kept_id").isNull()).otherwise(F.col(f"`{id_col}`") == F.col("_kept_id"))
+    hit = rows.join(kept, (F.col("_row") == F.col("_kept_row")) & same, "left_semi")
     return hit.dropDuplicates(["_row", id_col]).drop("_row")
