@@ -15,6 +15,7 @@ from .operators.reshape import Catalog, build_layouts, flatten, nest
 from .plans import guarantees, placement
 from .plans.query import run_select
 from .plans.sqlfront import parse_query, parse_schema
+from .probes import run_probes
 from .sources import datagen
 from .sources.tables import children_of, parquet_tables, upsert
 
@@ -347,6 +348,11 @@ def placement_plan(spark, d):
     return spark.createDataFrame(rows, "relationship string, decision string, score double, host string, reason string")
 
 
+def guarantee_probes(spark, d):
+    rows = [(p.relationship, p.kind, p.outcome, p.detail) for p in run_probes(catalog(spark, d, "nations", ["region", "nation", "supplier"]))]
+    return spark.createDataFrame(rows, "relationship string, kind string, outcome string, detail string")
+
+
 def seed_rows(spark, d):
     return datagen.generate(spark, schema(), seed=1, rows=200)["orders"]
 
@@ -355,7 +361,7 @@ _OTHERS = [
     flatten_roundtrip_orders, flatten_two_level, flatten_one_to_one, flatten_folded, nested_sizes, semi_orders_with_items, anti_orders_without_items, dml_insert_root, dml_insert_nested, dml_update_root,
     dml_update_nested, dml_update_two_level, dml_delete_root, dml_delete_nested, dml_delete_object, dml_addtoset, fk_cascade_delete, fk_set_null, fk_set_default, fk_restrict_blockers, fk_update_cascade,
     check_not_null, check_unique, check_unique_nullable, check_partial_unique, check_fk_orphans, check_domain, check_enum, check_length, check_nested_domain, check_audit, fanout_stats, doc_size_stats,
-    identity_gaps, upsert_rows, diff_multiset, diff_tolerant, rule_verdicts, placement_plan, seed_rows,
+    identity_gaps, upsert_rows, diff_multiset, diff_tolerant, rule_verdicts, placement_plan, guarantee_probes, seed_rows,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _select(n) for n in SELECTS} | {f.__name__: f for f in _OTHERS}
 
