@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from docshape.llm import blocks, components, fingerprints, licenses, mixing, packing, pii, quality, simhash_dedup, substring_dedup, token_counts, topk  # noqa: E402
+from docshape.llm import blocks, components, fingerprints, licenses, mixing, near_copies, packing, pii, quality, simhash_dedup, substring_dedup, token_counts, topk  # noqa: E402
 
 KINDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that the operators use inside.
@@ -128,6 +128,35 @@ def test_keep_one(wide):
     assert len(ids) == len(set(ids)) and 8 not in ids and 0 in ids and None not in ids and kept[0].asDict().keys() == set(wide.columns)
 
 
+@pytest.mark.parametrize("leaders", [16, 1])
+def test_keep_one_by_similarity(spark, monkeypatch, leaders):
+    """One document of each class that pairs of Jaccard similarity 0.8 on 5-word shingles link, by brute force; families and chains."""
+    monkeypatch.setattr(near_copies, "LEADERS", leaders)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = words(rng, rng.choice([40, 90, 250])).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+            base = w if rng.random() < 0.4 else base
+    texts += [texts[3], texts[3].upper(), "", None, " ", "one two", "one three"]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = by_union(len(texts), near)
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], KINDS).repartition(3)
+    assert len(near) > 50 and sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted(least.values())
+
+
 def test_token_counts(wide, none):
     from tokenizers import Tokenizer, models
 
