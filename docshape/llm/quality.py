@@ -11,6 +11,7 @@ between 0 and 1.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ def _stats(data: bytes) -> list[float]:
     upper, digit = int(((a >= 65) & (a <= 90)).sum()), int(((a >= 48) & (a <= 57)).sum())
     letter = upper + int(((a >= 97) & (a <= 122)).sum()) + int((a >= 128).sum())
     space = data.count(b" ") + data.count(b"\n")
-    distinct, once = len(set(words)), len(set(lines))
-    first = max(map(words.count, set(words[:8])), default=0) if w < 20_000 else words[:2000].count(words[0])
+    counts, once = Counter(words), len(set(lines))
+    distinct, first = len(counts), max((counts[x] for x in words[:8]), default=0)
     return [
         math.log1p(len(data)), upper / n, digit / n, letter / n, space / n, (n - letter - digit - space) / n, n / w / 10, distinct / w, math.log1p(distinct) - math.log1p(w),
         once / k, math.log1p(k) - math.log1p(w), sum(x.rstrip()[-1:] in b".!?" for x in lines) / k, max(map(len, words), default=0) ** 0.5 / 10, first / w,

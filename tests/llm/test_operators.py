@@ -157,6 +157,13 @@ def test_keep_one_by_similarity(spark, monkeypatch, leaders):
     assert len(near) > 50 and sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted(least.values())
 
 
+def test_repetition_of_long_texts():
+    """The repetition feature follows one formula at every length."""
+    for n in (19_990, 20_010):
+        w = [b"a", b"b", b"c", b"d"] + [b"c" if i % 3 == 0 else f"w{i}".encode() for i in range(n - 4)]
+        assert abs(quality._stats(b" ".join(w))[-1] - w.count(b"c") / n) < 1e-12
+
+
 def test_token_counts(wide, none):
     from tokenizers import Tokenizer, models
 
