@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blocks import near_links
+from .blocks import entries, near_links, neighbours
 from .common import checkpoint, shuffle_partitions
+from .components import connected_components
 
 _HALVES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
@@ -102,12 +103,26 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, n - half), F.left(following, half))
 
 
+def near_documents(rows: DataFrame) -> DataFrame:
+    """(fp, near_doc_id, n_near, class_doc_id) of each fingerprint of the documents ``rows`` (_id, fp).
+
+    near_doc_id is the smallest id whose fingerprint lies within two bits, its own included; n_near the number of other
+    documents within two bits; class_doc_id the smallest id reached over links of at most two bits.  A null id counts
+    as a document but never stands for one."""
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("w")))
+    members = entries(fps)
+    found = connected_components(near_links(fps, members=members)).select(F.col("node").alias("fp"), "component")
+    known = checkpoint(fps.join(neighbours(fps, members), "fp", "left").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    of_class = known.groupBy("component").agg(F.min("low").alias("class_doc_id"))
+    near, count = F.least("low", "near").alias("near_doc_id"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")
+    return known.join(of_class, "component").select("fp", near, count, "class_doc_id")
+
+
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_doc_id.
+    """Per row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_doc_id, n_near, class_doc_id.
 
     A null text counts as empty (fingerprint zero).  Repeated rows each get a row.  A single row is its own
-    successor.  near_doc_id is the smallest id whose fingerprint, found over the block tables, lies within two bits
-    or is joined by the least of a crowded neighbourhood; a null id never stands there.  Other columns are not read."""
+    successor.  The last three columns are those of ``near_documents``.  Columns other than the id and the text are not read."""
     rows = with_next(docs, id_col, text)
     rows = rows.select("_p", "_n", "_end", "_id", F.char_length("_t").cast("long").alias("_c"), "_t", F.when(~F.col("_end"), edited(F.col("_t"), F.col("_next"))).alias("_e"))
     rows = rows.withColumn("_s", F.unhex(F.sha2(F.col("_e").cast("binary"), 256)))
@@ -119,13 +134,9 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "
     w = W.partitionBy("_p").orderBy("_n", "_k")
     # Of a document come two rows, its own text's and its edited text's; then the next document's.
     seq = fps.select("*", F.lead("fp", 1).over(w).alias("_ef"), F.lead("fp", 2).over(w).alias("_nf")).where("_k = 0 AND NOT _end")
-    least = seq.where(F.col("_id").isNotNull()).groupBy("fp").agg(F.min("_id").alias("low"))
-    links = near_links(checkpoint(seq.select("fp").distinct()))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(least, F.col("b") == F.col("fp")).groupBy("a").agg(F.min("low").alias("near"))
-    low = least.join(near, F.col("fp") == F.col("a"), "full").select(F.coalesce("fp", "a").alias("_f"), F.least("low", "near").alias("near_doc_id"))
+    low = near_documents(seq.select("_id", "fp")).withColumnRenamed("fp", "_f")
     out = seq.join(low, F.col("fp") == F.col("_f"), "left")
     return out.select(
         F.col("_id").alias(id_col), F.col("_c").alias("n_chars"), F.lower(F.hex("_s")).alias("edited_sha256"), hex16(F.col("fp")).alias("fingerprint"),
-        hex16(F.col("_ef")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("_ef")).alias("near_edited"), likeness(F.col("fp"), F.col("_nf")).alias("near_next"), "near_doc_id",
+        hex16(F.col("_ef")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("_ef")).alias("near_edited"), likeness(F.col("fp"), F.col("_nf")).alias("near_next"), "near_doc_id", "n_near", "class_doc_id",
     )

@@ -116,6 +116,29 @@ def test_links_of_a_crowded_neighbourhood(spark, monkeypatch, pairwise):
     assert same(by_union(len(fps), pairs)) == same(by_union(len(fps), true))
 
 
+@pytest.mark.parametrize("pairwise", [32, 1])
+def test_neighbours_of_a_crowded_neighbourhood(spark, monkeypatch, pairwise):
+    """The least id and the number of documents within two bits, and the class, of large families of near fingerprints."""
+    monkeypatch.setattr(blocks, "PAIRWISE", pairwise)
+    rng = random.Random(3)
+    docs = []
+    for _ in range(5):
+        x = rng.getrandbits(64)
+        for _ in range(30):
+            docs += [x] * rng.choice([1, 1, 3])
+            x ^= 1 << rng.randrange(8)
+            x ^= 1 << rng.randrange(64) if rng.random() < 0.2 else 0
+    rng.shuffle(docs)
+    near = [[j for j, y in enumerate(docs) if (x ^ y).bit_count() <= 2] for x in docs]
+    root = by_union(len(docs), [(i, j) for i, v in enumerate(near) for j in v])
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(docs)], "_id bigint, fp bigint")
+    got = {r.fp: (r.near_doc_id, r.n_near, r.class_doc_id) for r in fingerprints.near_documents(rows).collect()}
+    assert [got[f - (1 << 64) if f >> 63 else f] for f in docs] == [(v[0], len(v) - 1, least[r]) for v, r in zip(near, root)]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
