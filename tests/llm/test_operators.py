@@ -225,6 +225,7 @@ def test_packing(wide, none):
             at += length
         assert at <= 4096
     assert len(bins) == math.ceil(sum(r.length for r in got) / 4096)
+    assert all(r.crossovers > 0 and r.bins_after <= r.bins_before for r in got if r.length < 4096)
     assert packing.pack_documents(none, path).count() == 0
 
 
@@ -246,12 +247,41 @@ def test_packing_levels(spark, monkeypatch):
 def test_genetic_step_keeps_items():
     rng = random.Random(0)
     lengths = sorted((rng.randrange(1, 90) for _ in range(200)), reverse=True)
-    best = packing.evolve(lengths, [], 100, 1)
-    assert sorted(i for b in best for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 100 for b in best)
-    child = packing.crossover(best, packing.evolve(lengths, [], 100, 2), lengths, 100, rng)
+    best, crossed, first = packing.evolve(lengths, [], 100, 1)
+    assert sorted(i for b in best for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 100 for b in best) and crossed > 0 and len(best) <= first
+    child = packing.crossover(best, packing.evolve(lengths, [], 100, 2)[0], lengths, 100, rng)
     assert sorted(i for b in child for i in b) == list(range(200))
 
 
+def test_crossovers_find_what_best_fit_decreasing_misses():
+    def decreasing(lengths, capacity):
+        bins: list = []
+        packing.best_fit(range(len(lengths)), lengths, bins, [], capacity)
+        return len(bins)
+
+    lengths = [5, 4, 4, 3, 2, 2]
+    assert decreasing(lengths, 10) == 3 and len(packing.evolve(lengths, [], 10, 0)[0]) == 2
+    better, rng = 0, random.Random(7)
+    for seed in range(30):
+        lengths = []
+        for _ in range(8):  # bins that can all be full
+            cuts = sorted(rng.sample(range(1, 30), 3))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 30])]
+        lengths.sort(reverse=True)
+        best, crossed, first = packing.evolve(lengths, [], 30, seed)
+        assert crossed and 8 <= len(best) <= min(first, decreasing(lengths, 30))
+        better += len(best) < decreasing(lengths, 30)
+    assert better
+
+
+def test_packing_of_large_pieces(spark, monkeypatch):
+    """Pieces of over half a sequence fill no bin well: levels end, and every piece has its bin."""
+    monkeypatch.setattr(packing, "BLOCK", 32)
+    items = spark.createDataFrame([(i, 60 + i % 7) for i in range(150)], "pid bigint, length bigint")
+    got = packing.pack(items, 100).collect()
+    assert sorted(r.pid for r in got) == list(range(150)) and len({r.sequence_id for r in got}) == 150 and {r.offset for r in got} == {0}
+
+
 def test_fingerprints(wide, docs, none):
     got = fingerprints.document_fingerprints(wide).collect()
     rows = odd_rows()
