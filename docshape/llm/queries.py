@@ -36,7 +36,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix_documents(read(spark, sf_dir, "documents"))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "taken", "array_join(transform(shards_of, x -> concat(x.shard, ':', x.place)), ',') AS drawn")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,19 @@ def test_quality(spark, none):
     assert quality.scores(none, quality.train(none, marks)).count() == 0 and quality.keep_good(docs, model).columns == docs.columns
 
 
+def share(sizes, weights, most=3):
+    """Targets by definition: what stops at ``most`` times its size leaves its excess to the others, by weight."""
+    out, free, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s}, float(sum(sizes))
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        full = {i for i in free if weights[i] * unit > most * sizes[i]}
+        for i in full or free:
+            out[i] = most * sizes[i] if full else weights[i] * unit
+        left -= sum(out[i] for i in full)
+        free = free - full if full else set()
+    return out
+
+
 def test_mixing(wide, none, spark):
     rows = odd_rows()
     got = mixing.mix_documents(wide).collect()
@@ -337,9 +350,9 @@ def test_mixing(wide, none, spark):
     for r in rows:
         sums[r[3]] += count(r[1])
     names = sorted(sums, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(names, mixing.targets([sums[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    goal = dict(zip(names, share([sums[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
     assert abs(sum(goal.values()) - sum(sums.values())) < 1e-6 and all(goal[n] <= 3 * sums[n] + 1e-6 for n in names)
-    assert sorted((str(r.doc_id), r.size, r.source_size, r.target) for r in got) == sorted((str(r[0]), count(r[1]), sums[r[3]], goal[r[3]]) for r in rows)
+    assert sorted((str(r.doc_id), r.size, r.source_size, round(r.target, 6)) for r in got) == sorted((str(r[0]), count(r[1]), sums[r[3]], round(goal[r[3]], 6)) for r in rows)
     assert all(r.taken == r.size * len(r.shards_of) <= 3 * r.size for r in got)
     assert sorted(got, key=str) == sorted(mixing.mix_documents(wide.repartition(2)).collect(), key=str)
     assert mixing.mix_documents(none).count() == 0
@@ -349,10 +362,52 @@ def test_mixing(wide, none, spark):
     assert all(abs(r.t - r.g) < 0.001 * r.g for r in taken)
 
 
+@pytest.mark.parametrize("ranks, group", [(4096, 4096), (2, 3)])
+def test_shards_draw_blocks(spark, monkeypatch, ranks, group):
+    """Against brute force: each shard draws the blocks that the tree deals it, whole and disjoint, from a permutation of each pass."""
+    monkeypatch.setattr(mixing, "RANKS", ranks)
+    monkeypatch.setattr(mixing, "GROUP", group)
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["a", "a", "b", "c", None, *(f"h{k}" for k in range(9))]), rng.randrange(0, 40)) for i in range(1500)] + [(None, "a", 7)] * 60 + [(9000, "z", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n int")
+    got = mixing.mix(docs, F.col("n").cast("long"), shards=5, block=50).collect()
+    assert collections.Counter((r.doc_id, r.source, r.size) for r in got) == collections.Counter(rows)
+    sums, taken, goal = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        sums[r.source] += r.size
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+        assert r.taken == r.size * len(r.shards_of) and len(r.shards_of) <= 3 and r.size * 3 >= r.taken
+    names = sorted(sums, key=lambda s: (s is None, s or ""))
+    want = share([sums[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    assert all(abs(goal[n] - w) < 1e-6 for n, w in zip(names, want)) and all(abs(taken[n] - goal[n]) <= 10 for n in names)
+    # Each shard's share of a source follows its quota: the taken sizes of shards differ by little of their mean.
+    by_shard = collections.Counter()
+    for r in got:
+        for x in r.shards_of:
+            by_shard[x.shard] += r.size
+    mean = sum(by_shard.values()) / 5
+    assert set(by_shard) <= set(range(5)) and all(abs(v - mean) < 0.15 * mean for v in by_shard.values())
+    # Identical rows are dealt to blocks of their own choice.
+    assert len({tuple(sorted(x.shard for x in r.shards_of)) for r in got if r.doc_id is None}) > 1
+
+
+def test_permutation(spark):
+    """Every block number has one place, and passes differ."""
+    for n in (1, 2, 7, 1000):
+        at = spark.range(n).select(F.col("id"), *[mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(0), F.lit("a"), F.lit(p)).alias(f"p{p}") for p in (0, 1)]).orderBy("id").collect()
+        assert sorted(r.p0 for r in at) == sorted(r.p1 for r in at) == list(range(n))
+    assert [r.p0 for r in at] != [r.p1 for r in at] and abs(np.corrcoef([r.id for r in at], [r.p0 for r in at])[0, 1]) < 0.15
+
+
 def test_split_quotas():
-    q = [1000, 17, 0, 333]
-    out = mixing.split_quotas(q, 13, 5)
-    assert out.sum(axis=0).tolist() == q and out.min() >= 0 and np.ptp(out.sum(axis=1)) <= 4 and (out == mixing.split_quotas(q, 13, 5)).all()
+    q, totals = [1000, 17, 0, 333], mixing.shard_totals(1350, 13)
+    out = mixing.split_quotas(q, totals, 5)
+    assert out.sum(axis=0).tolist() == q and out.min() >= 0 and (out.sum(axis=1) == totals).all() and np.ptp(totals) <= 4 and (out == mixing.split_quotas(q, totals, 5)).all()
+    # Draws without replacement: the mean over seeds is the quota's share, the variance that of the hypergeometric distribution.
+    draws = np.array([mixing.split_quotas([60, 40], np.array([50, 50]), s)[0, 0] for s in range(2000)])
+    assert abs(draws.mean() - 30) < 0.3 and abs(draws.var() - 50 * 0.6 * 0.4 * 50 / 99) < 0.8
 
 
 def test_licences(spark, none):
