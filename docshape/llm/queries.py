@@ -83,7 +83,8 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM
 lines AS (SELECT r, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(lower(x), 'licen[cs]e')),
 found AS (SELECT r, string_agg(DISTINCT l, ',' ORDER BY l) AS n FROM (SELECT r, sha256({_canonical("x")}) AS d FROM lines) JOIN known USING (d) GROUP BY r)
 SELECT doc_id, e.d AS digest, known.l AS licence, coalesce(n, '') AS line_licences FROM (SELECT r, doc_id, sha256({_canonical("t")}) AS d FROM docs) e LEFT JOIN known ON known.d = e.d LEFT JOIN found ON found.r = e.r""",
-    "op8_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda t: t[1] * t[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 5""",
+    "op8_top_k": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda t: t[1] * t[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 5""",
 }

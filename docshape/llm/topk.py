@@ -1,19 +1,23 @@
 """Exact top-k inner products by aggregation without random access (operator 8).
 
 Candidates are dealt into blocks.  In a block every dimension has its list of
-candidates by value, read from the end that suits the sign of the query's
-component; all lists are read to the same depth, in doubling steps.  A value
-not yet read is bounded by the last value read on one side and by the list's
-end on the other, so one matrix product per side gives the upper and the lower
-bounds of all queries at once.  Candidates whose upper bound lies below the
-k-th best lower bound are out; reading stops when few enough are left, whose
-scores are then resolved exactly.  The blocks' winners are merged by query.
+candidates sorted by value.  A query reads all lists of its non-zero
+components in step, each from the end that suits the component's sign, in
+stretches of doubling length; no entry is read twice and no candidate is looked
+up.  What is read adds to its candidate's partial score.  A component not yet
+seen is bounded by the last value read from its list on one side and by the
+list's other end on the other, which gives every seen candidate an upper and a
+lower bound and all unseen ones one common upper bound.  Candidates whose upper
+bound lies below the k-th best lower bound are out.  Reading stops when the
+unseen cannot qualify and few seen ones are left, whose scores are then
+resolved exactly.  The blocks' winners are merged by query.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,10 +29,9 @@ SCALE = 256
 EVERY = 50
 #: Expected rows of a block of candidates, and of queries: a task holds one of each.
 CANDIDATES = 8192
-QUERIES = 1024
-#: Lists are read from this share of a block on, doubling.
+QUERIES = 256
+#: The first stretch of the lists, as a share of a block; each next one doubles what is read.
 FIRST_DEPTH = 1 / 16
-_EXACT = 1 << 52
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -48,54 +51,89 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([max(-lim - 1, min(lim, sum(int(a) * int(b) for a, b in zip(q, row)))) for row in x], np.int64)
 
 
-def block_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, first: float = FIRST_DEPTH) -> tuple[list, list, list]:
-    """(query, candidate, score) of each query's k best candidates of a block other than rows of its own id; ties to smaller ids."""
-    out_q, out_c, out_s = [], [], []
-    n = len(cid)
-    alive = [None] * len(qid)
-    sums = float(np.abs(q).astype(np.float64).max(initial=0)) * float(np.abs(x).astype(np.float64).sum(axis=1).max(initial=0)) if n else 0.0
-    if n > 4 * k and sums < _EXACT:
-        f = x.astype(np.float64)
-        up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-        order = np.sort(f, axis=0)
-        low_end, high_end = order[0], order[-1]
-        own = qid[:, None] == cid[None, :]
-        todo, depth = np.arange(len(qid)), max(k + 2, int(n * first))
-        while len(todo) and depth < n:
-            high_cut, low_cut = order[n - depth], order[depth - 1]
-            # Lists of positive components are read from the top, those of negative ones from the bottom.
-            upper = up[todo] @ np.where(f >= high_cut, f, high_cut).T + down[todo] @ np.where(f <= low_cut, f, low_cut).T
-            lower = up[todo] @ np.where(f >= high_cut, f, low_end).T + down[todo] @ np.where(f <= low_cut, f, high_end).T
-            lower[own[todo]] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            may = (upper >= kth[:, None]) & ~own[todo]
-            few = may.sum(axis=1) <= max(4 * k, n // 64)
-            for i in np.flatnonzero(few):
-                alive[todo[i]] = np.flatnonzero(may[i])
-            todo, depth = todo[~few], depth * 2
-    for i in range(len(qid)):
-        at = alive[i] if alive[i] is not None else np.flatnonzero(cid != qid[i])
+class Lists:
+    """Each dimension's list of a block's candidates, from its highest and from its lowest value."""
+
+    def __init__(self, x: np.ndarray):
+        f = x.T.astype(np.float64)
+        low = np.argsort(f, axis=1, kind="stable").astype(np.int32)
+        values = np.take_along_axis(f, low, axis=1)
+        self.ids, self.values = (low[:, ::-1], low), (values[:, ::-1], values)
+
+    def stretch(self, dims: np.ndarray, rising: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, values) at places ``start`` to ``end`` of the lists ``dims``, read from the low end where ``rising``."""
+        ids, values = np.empty((len(dims), end - start), np.int32), np.empty((len(dims), end - start))
+        for up in (False, True):
+            at = rising == up
+            ids[at], values[at] = self.ids[up][dims[at], start:end], self.values[up][dims[at], start:end]
+        return ids, values
+
+
+def aggregate(q: np.ndarray, lists: Lists, n: int, k: int, own: int | None, first: float = FIRST_DEPTH) -> tuple[np.ndarray, int]:
+    """The candidates that may be among the k best of query ``q`` other than candidate ``own``, and how deep the lists were read.
+
+    Scores are kept as doubles: bounds are widened by what rounding could have moved them."""
+    dims = np.flatnonzero(q)
+    every = np.arange(n) if own is None else np.delete(np.arange(n), own)
+    if n <= 4 * k or not len(dims):
+        return every, 0
+    w, rising = q[dims].astype(np.float64), q[dims] < 0
+    far = np.array([lists.values[not up][d, 0] for d, up in zip(dims, rising.tolist())])  # the ends that are reached last
+    near = np.array([lists.values[up][d, 0] for d, up in zip(dims, rising.tolist())])
+    slack = 1e-12 * len(dims) * float(np.abs(w) @ np.maximum(np.abs(far), np.abs(near)))
+    partial, seen = np.zeros(n), np.zeros((n, len(dims)), bool)
+    among, some = None, np.zeros(n, bool)  # candidates seen and still in; those seen at all
+    depth, end = 0, max(k + 2, int(n * first))
+    while depth < n:
+        ids, values = lists.stretch(dims, rising, depth, end := min(end, n))
+        partial += np.bincount(ids.ravel(), (w[:, None] * values).ravel(), n)
+        for j, x in enumerate(ids):
+            seen[x, j] = True
+        depth = end
+        high, low = w * values[:, -1], w * far
+        if among is None:
+            some[ids] = True
+            at = np.flatnonzero(some)
+            at = at if own is None else at[at != own]
+        else:
+            at = among
+        blank = ~seen[at]
+        upper, lower = partial[at] + blank @ high + slack, partial[at] + blank @ low - slack
+        if len(at) > k:
+            kth = np.partition(lower, len(at) - k)[len(at) - k]
+            if among is not None or high.sum() + slack < kth or depth == n:  # the unseen cannot qualify, nor ever will
+                among = at[upper >= kth]
+                if len(among) <= max(4 * k, n // 64):
+                    return among, depth
+        end = 2 * depth
+    return (every if among is None else among), depth
+
+
+def block_top(qid: np.ndarray, q: np.ndarray, qrow: np.ndarray, cid: np.ndarray, x: np.ndarray, crow: np.ndarray, k: int) -> tuple[list, list, list, list]:
+    """(query row, query, candidate, score) of each query's k best candidates of a block other than its own row; ties to smaller ids."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    lists, place = Lists(x), {r: i for i, r in enumerate(crow.tolist())}
+    for i, row in enumerate(qrow.tolist()):
+        at, _ = aggregate(q[i], lists, len(cid), k, place.get(row))
         if not len(at):
             continue
         scores = exact_scores(q[i], x[at])
         best = np.lexsort((cid[at], -scores.astype(object) if scores.min() == -(1 << 63) else -scores))[:k]
-        out_q += [qid[i]] * len(best)
-        out_c += cid[at][best].tolist()
-        out_s += scores[best].tolist()
-    return out_q, out_c, out_s
+        for have, more in zip(out, ([row] * len(best), [qid[i]] * len(best), cid[at][best].tolist(), scores[best].tolist())):
+            have += more
+    return out
 
 
 def _cell(k: int):
-    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        got = ([], [], [])
+    def run(cell: pa.Table) -> pa.Table:
+        got = ([], [], [], [])
+        asks = pc.equal(cell.column("asks"), True)
+        queries, candidates = cell.filter(asks), cell.filter(pc.invert(asks))
         if len(queries) and len(candidates):
-            width = max(len(x) for t in (queries, candidates) for x in t.column("x").to_pylist())
-            q, x = _matrix(queries.column("x"), width), _matrix(candidates.column("x"), width)
-            qid, cid = queries.column("id").to_numpy(), candidates.column("id").to_numpy()
-            for at in range(0, len(qid), QUERIES):
-                for have, more in zip(got, block_top(qid[at : at + QUERIES], q[at : at + QUERIES], cid, x, k)):
-                    have += more
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), got)})
+            width = max(pc.max(pc.list_value_length(t.column("x"))).as_py() for t in (queries, candidates))
+            (qid, q, qrow), (cid, x, crow) = ((t.column("id").to_numpy(), _matrix(t.column("x"), width), t.column("row").to_numpy()) for t in (queries, candidates))
+            got = block_top(qid, q, qrow, cid, x, crow, k)
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("row", "query_id", "vec_id", "score"), got)})
 
     return run
 
@@ -113,16 +151,17 @@ def quantized(vectors: DataFrame, id_col: str, vector: str, scale: int = SCALE)
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``every`` divides its k highest integer inner products with all other rows, ties to smaller ids.
 
-    A query is never paired with rows of its own id; query rows alike in id and vector count once, candidate rows alike in
-    id and vector too.  Shorter vectors count as padded with zeros.  With fewer candidates than k, all are given.
+    Rows count each for itself, however alike: a row of a query's id or vector is one of its candidates, only the query's
+    own row is not, and rows of one id are queries of their own.  Shorter vectors count as padded with zeros.  With fewer candidates than k, all are given.
+    Null ids, null vectors and vectors with a null or non-finite component take no part; an empty table gives no rows; other columns are not read.
     Queries and candidates meet in cells of bounded size: each candidate is sent once for each block of queries,
     each query once for each block of candidates; of a cell, k rows a query come back."""
-    kept = checkpoint(quantized(vectors, id_col, vector, scale).distinct())
+    kept = checkpoint(quantized(vectors, id_col, vector, scale).withColumn("row", F.monotonically_increasing_id()))
     queries = kept.where(F.col("id") % every == 0)
     n, m = kept.count(), queries.count()
-    cells, groups = max(1, -(-n // CANDIDATES)), max(1, -(-m // (8 * QUERIES)))
-    c = kept.select(F.pmod(F.xxhash64("id", "x"), F.lit(cells)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("g"), "id", "x")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")).alias("c"), F.pmod(F.xxhash64("x", "id"), F.lit(groups)).alias("g"), "id", "x")
-    found = q.groupBy("c", "g").cogroup(c.groupBy("c", "g")).applyInArrow(_cell(k), "query_id bigint, vec_id bigint, score bigint")
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cells, groups = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
+    c = kept.select(F.pmod(F.xxhash64("row"), F.lit(cells)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("g"), F.lit(False).alias("asks"), "id", "x", "row")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")).alias("c"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).alias("g"), F.lit(True).alias("asks"), "id", "x", "row")
+    found = q.unionByName(c).groupBy("c", "g").applyInArrow(_cell(k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+    w = W.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
