@@ -455,6 +455,7 @@ def test_lists_are_read_in_part_and_answers_stay_exact():
     # Read entries only: values beyond the depth may be anything that the sorted order allows.
     i = int(np.argmin(depths))
     cut = topk.Lists(x)
+    cut.values = tuple(v.copy() for v in cut.values)
     for values in cut.values:
         values[:, depths[i] : -1] = values[:, depths[i] - 1 : depths[i]]
     assert topk.aggregate(x[i], cut, 3000, 5, i)[0].tolist() == topk.aggregate(x[i], lists, 3000, 5, i)[0].tolist()
