@@ -584,3 +584,44 @@ def test_pii(spark, wide, none):
     assert spans[40].startswith("email:") and spans[41].startswith("phone:") and spans[42] == ""
     masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert "@" not in masked[0] and "[EMAIL]" in masked[0] and masked[42] == texts[42] and pii.mask(wide).columns == wide.columns
+
+
+def test_reliabilities_are_recovered():
+    """Votes drawn with planted shares and rates of voting for true and for false spans, abstentions included."""
+    rng = np.random.default_rng(3)
+    share, rates, says = 0.6, [(0.95, 0.1), (0.8, 0.3), (0.7, 0.05)], (1.0, 0.9, 0.5)
+    seen = collections.Counter()
+    for _ in range(40_000):
+        true = rng.random() < share
+        votes = [int(rng.random() < r[0 if true else 1]) if rng.random() < s else 2 for r, s in zip(rates, says)]
+        seen[(1, *votes, int(rng.random() < (0.9 if true else 0.4)))] += 1
+    model = pii.fit([(*k, n) for k, n in seen.items()])
+    assert abs(model[1]["share"] - share) < 0.03
+    assert all(abs(a - b) < 0.04 for got, want in zip(model[1]["rates"], rates) for a, b in zip(got, want))
+    assert model[1][3, 1] > 0 > model[1][3, 0]
+
+
+def test_labelers_vote_both_ways():
+    for kind, span, vote in [
+        (0, "a@b.com", 1), (0, "a@b.fr", 1), (0, "a@b.qqqq", 0), (1, "10.1.2.3", 1), (1, "127.0.0.1", 0), (1, "1.2.3.4", 0), (1, "2001:0:0:0:0:0:0:1", 1), (1, "1:2:3:4:5:6:7:8", 0),
+        (2, "4111 1111 1111 1111", 1), (2, "9111 1111 1111 1111", 0), (2, "123-45-6789", 1), (2, "666-45-6789", 0), (2, "DE89 3704 0044 0532 0130 00", 1), (2, "DE89 3704 0044 0532", 0),
+        (3, "+49 30 123456", 1), (3, "+89 30 123456", 0), (3, "0049 30 123456", 1), (3, "(555) 123-4567", 1), (3, "(055) 123-4567", 0),
+    ]:
+        assert pii._registered(kind, span) == vote, span
+    text = lambda before: pii._votes(before + "4111111111111111", len(before), 2, len(before) + 16, 1)[3]
+    assert (text("my card "), text("invoice "), text("phone "), text("nothing ")) == (1, 0, 0, 2)
+    assert pii.checked_account("DE89 3704 0044 0532 0130 00") and not pii.checked_account("DE88 3704 0044 0532 0130 00")
+
+
+@pytest.mark.parametrize("unit", ["7", "1.", "@", "a@", "a@b.c ", "+1 555 123 4567 ", "+1", "7 ", "555-123-4567 ", "at (at) x (dot) y ", "1:", "a.", "(at)", "AB12 "])
+def test_very_long_texts(unit):
+    """Ten megabytes of anything that spans are made of: time grows with the length, not with its square."""
+    import time
+
+    def took(n):
+        text, start = unit * (n // len(unit)), time.process_time()
+        pii.decide(text, {})
+        return time.process_time() - start
+
+    small, large = took(1_250_000), took(10_000_000)
+    assert large < 60 and large < 20 * small + 2
