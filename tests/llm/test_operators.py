@@ -341,6 +341,27 @@ def share(sizes, weights, most=3):
     return out
 
 
+def test_prior_and_moments(spark):
+    """Means and deviations over all rows; the prior of a planted mixture; one row an id comes to the driver."""
+    texts = [(f"w{i} " * (1 + i % 5)).encode() for i in range(300)] + [b"", b"x"]
+    mean, dev = quality.moments(spark.createDataFrame([(t,) for t in texts], "_text binary").repartition(3))
+    x = quality.features(texts)
+    assert np.abs(mean - x.mean(0)).max() < 1e-3 and np.abs(dev - x.std(0) - 1e-3).max() < 1e-3
+    rng = np.random.default_rng(0)
+    pos, unl = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 6000), rng.normal(-2, 1, 4000)])
+    cuts = np.quantile(pos, np.linspace(0.02, 0.9, quality.CUTS))
+    assert abs(quality.prior_from_tails(pos, cuts, [int((unl >= c).sum()) for c in cuts], len(unl)) - 0.6) < 0.05
+
+
+def test_quality_of_a_repeated_id(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 30) if i % 3 else words(rng, 3) + "!!" * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.range(100_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(rows[1][1]).alias("text")))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 200, 2)] + [(1, 1)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    assert model["prior"] and quality.scores(docs, model).count() == 100_200
+
+
 def test_mixing(wide, none, spark):
     rows = odd_rows()
     got = mixing.mix_documents(wide).collect()
