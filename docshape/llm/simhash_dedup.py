@@ -88,20 +88,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     """``docs`` without near copies: of each class the row with the smallest id (null ids last; between rows of one
     id, the one with the smallest digest; of rows alike in every column, one).
 
-    A class is what pairs of texts link whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more."""
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.withColumn("_row", digest)
-    signed = checkpoint(near_copies.signatures(docs.select(F.col(id_col).alias("_id"), digest.alias("_row"), binary_text(text).alias("_text")), width))
+    A class is what pairs of texts link whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more;
+    null and empty texts are alike.  Columns may have any names and all come back; an empty table stays empty."""
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_col, text = (f"c{names.index(n)}" for n in (id_col, text))
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    signed = checkpoint(near_copies.signatures(rows.select(F.col(id_col).alias("_id"), "_row", binary_text(text).alias("_text")), width))
     # The first row of each shingle set before the joins: copies of one text, however many, come to them as one row.
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     first = checkpoint(first)
     members = checkpoint(near_copies.buckets(first))
     # Joined by the digest alone, ids being compared after it: the rows then lie as dropDuplicates needs them and texts move once.
-    same = F.when(F.col(f"`{id_col}`").isNull(), F.col("_kept_id").isNull()).otherwise(F.col(f"`{id_col}`") == F.col("_kept_id"))
+    same = F.when(F.col(id_col).isNull(), F.col("_kept_id").isNull()).otherwise(F.col(id_col) == F.col("_kept_id"))
     shared = first.join(members.select("node").distinct(), "node").select("node", F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     texts = rows.select(id_col, "_row", binary_text(text).alias("_text")).join(shared, (F.col("_row") == F.col("_kept_row")) & same).select("node", "_text")
     sets = checkpoint(near_copies.shingle_sets(texts, width).dropDuplicates(["node"]))
     named = near_copies.classes(members, sets)
     kept = first.join(named, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     hit = rows.join(kept, (F.col("_row") == F.col("_kept_row")) & same, "left_semi")
-    return hit.dropDuplicates(["_row", id_col]).drop("_row")
+    return hit.dropDuplicates(["_row", id_col]).select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)])

@@ -20,6 +20,7 @@ from docshape.llm import blocks, components, fingerprints, licenses, mixing, nea
 KINDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that the operators use inside.
 CLASH = {"fp": 1, "_id": 2, "_text": "x", "node": 3, "class": "y", "key": 0, "length": 7, "size": 5, "spans": "z", "score": 0.1}
+CLASH |= {"_row": 10, "_order": 11, "_kept_id": 12, "_kept_row": 13, "_at": 14, "shard": 15, "place": 16, "c0": 17, "_c": 18, "_source": 19, "s": 20, "target": 21, "row": 22}
 
 
 def clash(df, *but):
@@ -149,6 +150,7 @@ def test_keep_one(wide):
     kept = simhash_dedup.keep_one(wide).collect()
     ids = [r.doc_id for r in kept]
     assert len(ids) == len(set(ids)) and 8 not in ids and 0 in ids and None not in ids and kept[0].asDict().keys() == set(wide.columns)
+    assert all(r[k] == v for r in kept for k, v in CLASH.items())
 
 
 @pytest.mark.parametrize("leaders", [16, 1])
