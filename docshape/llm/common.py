@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables written by this driver, removed when it ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Tables written by this driver (session, path, name in the catalog if any), removed when it ends.
+_WRITTEN: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +45,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame | None = None) -> None:
-    """Removes the tables of ``written``."""
-    for spark, path in _WRITTEN:
+def placed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"docshape_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    _WRITTEN.append((spark, path, name))
+    return spark.table(name)
+
+
+def discard() -> None:
+    """Removes the tables of ``written`` and ``placed``, files and names.  A driver that lives long may call it once the
+    results that were read from them are stored."""
+    for spark, path, *name in _WRITTEN:
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name[0]}")
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from .blocks import near_links
-from .common import binary_text, checkpoint
+from .common import binary_text, checkpoint, placed, shuffle_partitions
 from .components import connected_components
 
 SHINGLE = 3
@@ -93,17 +93,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     names = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_col, text = (f"c{names.index(n)}" for n in (id_col, text))
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    parts = shuffle_partitions(docs.sparkSession)
+    # Texts move once: both joins with them are on the digest that they are placed by.
+    rows = placed(docs.withColumn("_row", F.xxhash64(*docs.columns)).repartition(parts, "_row"), "_row", parts)
     signed = checkpoint(near_copies.signatures(rows.select(F.col(id_col).alias("_id"), "_row", binary_text(text).alias("_text")), width))
     # The first row of each shingle set before the joins: copies of one text, however many, come to them as one row.
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     first = checkpoint(first)
     members = checkpoint(near_copies.buckets(first))
-    # Joined by the digest alone, ids being compared after it: the rows then lie as dropDuplicates needs them and texts move once.
+    # Joined by the digest alone, ids being compared after it: the rows then lie as dropDuplicates needs them.
     same = F.when(F.col(id_col).isNull(), F.col("_kept_id").isNull()).otherwise(F.col(id_col) == F.col("_kept_id"))
     shared = first.join(members.select("node").distinct(), "node").select("node", F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     texts = rows.select(id_col, "_row", binary_text(text).alias("_text")).join(shared, (F.col("_row") == F.col("_kept_row")) & same).select("node", "_text")
-    sets = checkpoint(near_copies.shingle_sets(texts, width).dropDuplicates(["node"]))
+    # Placed by node, so that comparing pairs moves pairs and not all sets.
+    sets = placed(near_copies.shingle_sets(texts, width).dropDuplicates(["node"]), "node", parts)
     named = near_copies.classes(members, sets)
     kept = first.join(named, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     hit = rows.join(kept, (F.col("_row") == F.col("_kept_row")) & same, "left_semi")

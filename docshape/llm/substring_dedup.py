@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import marshal
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WRITTEN, checkpoint, shared_dir, shuffle_partitions, worker_state
+from .common import checkpoint, placed, shuffle_partitions, worker_state
 
 WINDOW = 200
 GRAM = 64
@@ -333,16 +332,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _placed(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key``: joins on it move the other side only."""
-    spark = df.sparkSession
-    name = f"docshape_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
-    _WRITTEN.append((spark, path))
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run, in bytes).
 
@@ -352,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_t")).withColumn("_key", F.unhex(F.md5("_t")))
-    texts = _placed(src.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_t").alias("_t")), "_key", parts)
+    texts = placed(src.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_t").alias("_t")), "_key", parts)
     long = texts.where(F.length("_t") >= WINDOW).select("_key", "_t")
     # Kept apart from the join, so that adaptive execution may split the rows of an anchor that very many texts have.
     again = checkpoint(long.select("_t").mapInArrow(_anchor_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
