@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 TOLERANCE = 1e-9
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Reals as doubles of six significant digits, times to the millisecond, integers as longs."""
+    """Reals as doubles, times to the millisecond, integers as longs."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, _REAL):
-            x = c.cast("double")
-            digits = 5 - F.floor(F.log10(F.abs(x)))
-            c = F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+            c = c.cast("double")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_trunc("millisecond", c).cast(f.dataType)
         elif isinstance(f.dataType, T.IntegralType):
@@ -27,17 +28,44 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def rounded(x):
+    """A real Column to six significant digits: only an order in which nearly equal values lie together, never a test of equality."""
+    digits = 5 - F.floor(F.log10(F.abs(x)))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+
+
 def values_equal(a, b, tolerance: float = TOLERANCE):
     """Equality of two real Columns up to a relative tolerance; nulls are equal to nulls."""
     return a.eqNullSafe(b) | (F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b)))
 
 
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows, after normalisation, that one side has more often: side, n and the columns.  One aggregation, no pairing of rows."""
+    """Rows, after normalisation, that one side has more often: side, n and the columns.
+
+    One aggregation counts exactly.  If there are real columns, what it leaves over is paired once more: rows that agree in
+    all other columns, in the order of their reals, and pairs whose reals are equal within the tolerance are dropped."""
     a, b = normalize(left), normalize(right.toDF(*left.columns))
-    both = a.withColumn("_d", F.lit(1)).unionByName(b.withColumn("_d", F.lit(-1)))
-    counted = both.groupBy(*[f"`{c}`" for c in left.columns]).agg(F.sum("_d").alias("_d")).where("_d <> 0")
-    return counted.select(F.when(F.col("_d") > 0, "left").otherwise("right").alias("side"), F.abs("_d").alias("n"), *[f"`{c}`" for c in left.columns])
+    names = [f"c{i}" for i in range(len(left.columns))]
+    both = a.toDF(*names).withColumn("_d", F.lit(1)).unionByName(b.toDF(*names).withColumn("_d", F.lit(-1)))
+    counted = both.groupBy(*names).agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    real = [n for n, f in zip(names, a.schema) if isinstance(f.dataType, T.DoubleType)]
+    if real:
+        plain = [n for n in names if n not in real]
+        over = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_d")))).withColumn("_side", F.signum("_d").cast("int"))
+        w = W.partitionBy("_side", *plain).orderBy(*[rounded(F.col(n)) for n in real], *real)
+        over = over.withColumn("_k", F.row_number().over(w))
+        x = over.where("_side = 1").select(F.struct(*names).alias("x"), "_k")
+        y = over.where("_side = -1").select(F.struct(*names).alias("y"), F.col("_k").alias("_j"))
+        on = (F.col("_k") == F.col("_j"))
+        for n in plain:
+            on = on & F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}"))
+        same = F.lit(True)
+        for n in real:
+            same = same & values_equal(F.col(f"x.{n}"), F.col(f"y.{n}"))
+        pairs = x.join(y, on, "full").where(F.col("x").isNull() | F.col("y").isNull() | ~F.coalesce(same, F.lit(False)))
+        ends = F.array(F.struct(F.lit(1).alias("_d"), F.col("x").alias("r")), F.struct(F.lit(-1).alias("_d"), F.col("y").alias("r")))
+        counted = pairs.select(F.inline(ends)).where("r IS NOT NULL").groupBy("r").agg(F.sum("_d").alias("_d")).where("_d <> 0").select("r.*", "_d")
+    return counted.select(F.when(F.col("_d") > 0, "left").otherwise("right").alias("side"), F.abs("_d").alias("n"), *[F.col(n).alias(c) for n, c in zip(names, left.columns)])
 
 
 def same_multiset(left: DataFrame, right: DataFrame) -> bool:
@@ -45,7 +73,8 @@ def same_multiset(left: DataFrame, right: DataFrame) -> bool:
 
 
 def same_order(left: list[tuple], right: list[tuple], keys: list[int]) -> bool:
-    """Whether two small collected results agree row by row, rows with equal sort keys in any order."""
+    """Whether two small collected results agree row by row, rows with equal sort keys in any order; reals to nine digits."""
+    left, right = ([tuple(float(f"{v:.9g}") if isinstance(v, (float, Decimal)) else v for v in r) for r in x] for x in (left, right))
     if len(left) != len(right):
         return False
     at = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,38 @@ def _literal_rows(cat: Catalog, q: Insert, spark) -> DataFrame:
     return out
 
 
-def insert(cat: Catalog, q: Insert) -> Catalog:
-    """New rows; an embedded row needs a host, else nothing is changed and the insert fails."""
+def check_new(cat: Catalog, table: str, rows: DataFrame) -> None:
+    """Raises if new flat rows hold a null where none may be, repeat a key (their own or an old row's) or refer to no row."""
+    t, old = cat.schema.tables[table], flatten(cat, table)
+    for c in t.columns:
+        if (not c.nullable or c.name in t.primary_key) and not rows.where(F.col(c.name).isNull()).isEmpty():
+            raise DocshapeError("INTEGRITY", f"null in {table}.{c.name}")
+    for key in [t.primary_key, *[u.columns for u in t.uniques if u.where is None]]:
+        if not key or cat.layouts[table].kind.startswith("ref_"):  # a folded row is a set's element: adding it again changes nothing
+            continue
+        whole = rows.dropna(subset=list(key)).select(*key)
+        twice = whole.groupBy(*key).count().where("count > 1")
+        if not twice.isEmpty() or not old.select(*key).join(whole, list(key), "left_semi").isEmpty():
+            raise DocshapeError("INTEGRITY", f"a key of {table} twice: {', '.join(key)}")
+    for fk in t.foreign_keys:
+        if fk.ref_table not in cat.layouts:
+            continue
+        keys = flatten(cat, fk.ref_table).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(fk.ref_columns)])
+        if fk.ref_table == table:
+            keys = keys.unionByName(rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(fk.ref_columns)]))
+        lost = rows.dropna(subset=list(fk.columns)).join(keys, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(fk.columns)], "left_anti")
+        if not lost.isEmpty():
+            raise DocshapeError("INTEGRITY", f"a new {table} row refers to no {fk.ref_table} row")
+
+
+def insert(cat: Catalog, q: Insert, checked: bool = True) -> Catalog:
+    """New rows; an embedded row needs a host, else nothing is changed and the insert fails.  Unless ``checked`` is false,
+    rows that break a constraint of the schema are refused too, whether or not the layout would hold it by itself."""
     x = cat.layouts[q.table]
     root = _root(cat, q.table)
     rows = _literal_rows(cat, q, cat.roots[root].sparkSession)
+    if checked:
+        check_new(cat, q.table, rows)
     if x.kind == "root":
         return cat.with_root(root, cat.roots[root].unionByName(rows, allowMissingColumns=True))
     fk, key = x.rel.fk.columns, x.rel.fk.ref_columns
@@ -144,13 +173,13 @@ def delete(cat: Catalog, q: Delete) -> Catalog:
     return cat.with_root(root, docs.withColumn(x.path, new))
 
 
-def execute(cat: Catalog, *statements: str) -> Catalog:
-    """The catalog after all statements; if one fails none has happened."""
+def execute(cat: Catalog, *statements: str, checked: bool = True) -> Catalog:
+    """The catalog after all statements; if one fails none has happened.  ``checked`` is that of ``insert``."""
     for sql in statements:
         q = parse_query(sql)
         if getattr(q, "table", None) not in cat.schema.tables:
             raise DocshapeError("SEM012", "no such table, or not a write")
-        cat = {Insert: insert, Update: update, Delete: delete}[type(q)](cat, q)
+        cat = insert(cat, q, checked) if isinstance(q, Insert) else {Update: update, Delete: delete}[type(q)](cat, q)
     return cat
 
 
@@ -161,8 +190,22 @@ def delete_rows(schema, tables: dict[str, DataFrame], table: str, where) -> dict
     """The tables after deleting ``table``'s rows for which the Column ``where`` is true, with every ON DELETE action.
 
     RESTRICT and NO ACTION raise if a child is left.  Follows the foreign keys level by level, each level one
-    semi-join; a cycle ends when no new rows are hit."""
+    semi-join.  Tables on a cycle of cascades are followed until no row is hit that is not gone yet; each of their levels is
+    kept in the shared checkpoint folder, so that plans do not grow with the depth."""
     out = dict(tables)
+    cascades = {t.name: {fk.ref_table for fk in t.foreign_keys if fk.on_delete == "CASCADE"} for t in schema.tables.values()}
+
+    def on_cycle(name: str) -> bool:
+        seen, todo = set(), [name]
+        while todo:
+            for p in cascades.get(todo.pop(), ()):
+                if p == name:
+                    return True
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        return False
+
     frontier = [(table, out[table].where(F.coalesce(where, F.lit(False))))]
     out[table] = out[table].where(~F.coalesce(where, F.lit(False)))
     while frontier:
@@ -175,10 +218,14 @@ def delete_rows(schema, tables: dict[str, DataFrame], table: str, where) -> dict
                 on = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(fk.columns)]
                 child = out[t.name]
                 if fk.on_delete == "CASCADE":
-                    hit = child.join(keys, on, "left_semi")
-                    out[t.name] = child.join(keys, on, "left_anti")
-                    if t.name != parent or not hit.isEmpty():
-                        frontier.append((t.name, hit))
+                    hit, kept = child.join(keys, on, "left_semi"), child.join(keys, on, "left_anti")
+                    if on_cycle(t.name):
+                        hit = _kept(hit)
+                        if hit.isEmpty():
+                            continue
+                        kept = _kept(kept)
+                    out[t.name] = kept
+                    frontier.append((t.name, hit))
                 elif fk.on_delete in ("SET NULL", "SET DEFAULT"):
                     marked = child.join(keys.withColumn("_hit", F.lit(True)), on, "left")
 
@@ -194,21 +241,41 @@ def delete_rows(schema, tables: dict[str, DataFrame], table: str, where) -> dict
     return out
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that the session names for checkpoints; a local master may use one of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise DocshapeError("CONFIG", "set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docshape-checkpoint-"))
+    return df.checkpoint()
+
+
 def update_key(schema, tables: dict[str, DataFrame], table: str, column: str, new, where) -> dict[str, DataFrame]:
-    """The tables after changing a key column, with ON UPDATE CASCADE; other actions raise if a child refers to a changed key."""
+    """The tables after changing a key column, with ON UPDATE CASCADE at every depth: a child's column that others refer to
+    changes for them too.  Other actions raise if a child refers to a changed key."""
     hit = F.coalesce(where, F.lit(False))
     old = tables[table]
-    moved = old.where(hit).select(F.col(column).alias("_old"), new.cast(old.schema[column].dataType).alias("_new")).distinct()
-    out = dict(tables) | {table: old.withColumn(column, F.when(hit, new.cast(old.schema[column].dataType)).otherwise(F.col(column)))}
-    for t in schema.tables.values():
-        for fk in t.foreign_keys:
-            if fk.ref_table != table or column not in fk.ref_columns or t.name not in out:
-                continue
-            c = fk.columns[fk.ref_columns.index(column)]
-            child = out[t.name]
-            if fk.on_update == "CASCADE":
-                joined = child.join(moved, F.col(c) == F.col("_old"), "left")
-                out[t.name] = joined.select(*[(F.when(F.col("_old").isNotNull(), F.col("_new")).otherwise(F.col(c)) if n == c else F.col(n)).alias(n) for n in child.columns])
-            elif not child.join(moved, F.col(c) == F.col("_old"), "left_semi").isEmpty():
-                raise DocshapeError("INTEGRITY", f"{t.name} rows still refer to {table}")
+    kind = old.schema[column].dataType
+    moved = old.where(hit).select(F.col(column).alias("_old"), new.cast(kind).alias("_new")).distinct()
+    out = dict(tables) | {table: old.withColumn(column, F.when(hit, new.cast(kind)).otherwise(F.col(column)))}
+    todo, done = [(table, column)], {(table, column)}
+    while todo:
+        parent, key = todo.pop(0)
+        for t in schema.tables.values():
+            for fk in t.foreign_keys:
+                if fk.ref_table != parent or key not in fk.ref_columns or t.name not in out:
+                    continue
+                c = fk.columns[fk.ref_columns.index(key)]
+                if (t.name, c) in done:
+                    continue
+                child = out[t.name]
+                if fk.on_update == "CASCADE":
+                    joined = child.join(moved, F.col(c) == F.col("_old"), "left")
+                    out[t.name] = joined.select(*[(F.when(F.col("_old").isNotNull(), F.col("_new")).otherwise(F.col(c)) if n == c else F.col(n)).alias(n) for n in child.columns])
+                    done.add((t.name, c))
+                    todo.append((t.name, c))
+                elif not child.join(moved, F.col(c) == F.col("_old"), "left_semi").isEmpty():
+                    raise DocshapeError("INTEGRITY", f"{t.name} rows still refer to {parent}")
     return out

@@ -143,7 +143,7 @@ def _default(node, layouts, schema):
 
 @rule("EQ-AUTOINC", OBJECTID=CHANGED, COUNTER=CHANGED)
 def _autoinc(node, layouts, schema):
-    return "COUNTER"
+    return "COUNTER" if node[1] else "OBJECTID"
 
 
 @rule("EQ-ENUM", ENUM_LIST=SAFE)
@@ -164,16 +164,23 @@ def _atomic(node, layouts, schema):
 
 @rule("EQ-JOIN", INNER_EMBEDDED=SAFE, INNER_REFERENCED=SAFE, LEFT_CLEAN=SAFE, LEFT_NULLS=CHANGED)
 def _join(node, layouts, schema):
-    kind, table, where_null = node
+    kind, table, scope, on, shown = node
     if kind == "left":
-        return "LEFT_NULLS" if where_null else "LEFT_CLEAN"
-    return "INNER_EMBEDDED" if layouts[table].kind != "root" else "INNER_REFERENCED"
+        return "LEFT_NULLS" if shown else "LEFT_CLEAN"
+    # An embedded edge is followed if the join is between a table and its host, on the columns of their foreign key.
+    for child, host in [(table, u) for u in scope] + [(u, table) for u in scope]:
+        x = layouts[child]
+        if x.kind != "root" and x.host == host and x.rel is not None and all(repr(c) in on for c in (*x.rel.fk.columns, *x.rel.fk.ref_columns)):
+            return "INNER_EMBEDDED"
+    return "INNER_REFERENCED"
 
 
 @rule("EQ-AGG", AGG_SAFE=SAFE, AGG_CHANGED=CHANGED)
 def _agg(node, layouts, schema):
-    name, grouped = node
-    return "AGG_CHANGED" if name in ("sum", "avg") or not grouped else "AGG_SAFE"
+    name, grouped, integral, left_joined = node
+    if name == "avg":
+        return "AGG_CHANGED" if integral else "AGG_SAFE"
+    return "AGG_CHANGED" if name == "sum" and (not grouped or left_joined) else "AGG_SAFE"
 
 
 def simple(x) -> bool:
@@ -193,7 +200,35 @@ def translatable(x) -> bool:
     return True
 
 
-def guarantees(schema: Schema, queries: list = (), blocks: list[set[str]] = (), transactions: bool = True) -> list[tuple[str, str, object]]:
+def _columns_of(x) -> list[tuple]:
+    """The column and star nodes of an expression."""
+    if not isinstance(x, (tuple, list)) or not x:
+        return []
+    if x[0] in ("col", "star"):
+        return [tuple(x)]
+    return [c for y in x for c in _columns_of(y)]
+
+
+def _table_of(c: tuple, scope: dict, schema: Schema) -> str | None:
+    """The alias that a column node belongs to."""
+    given = [p for p in c[1:] if p in scope]
+    if given:
+        return given[0]
+    return next((b for b, t in scope.items() if c[-1] in schema.tables[t].names()), None)
+
+
+def _reads(x, alias: str, scope: dict, schema: Schema) -> bool:
+    """Whether an output expression shows a column of the table ``alias``."""
+    return any(c[0] == "star" and not [p for p in c[1:] if p in scope and p != alias] or c[0] == "col" and _table_of(c, scope, schema) == alias for c in _columns_of(x))
+
+
+def _integral(x, scope: dict, schema: Schema) -> bool:
+    """Whether all columns of an expression are of whole numbers."""
+    kinds = [schema.tables[scope[b]].column(c[-1]).type for c in _columns_of(x) if c[0] == "col" and (b := _table_of(c, scope, schema)) and c[-1] in schema.tables[scope[b]].names()]
+    return bool(kinds) and all(k.lower() in ("int", "integer", "bigint", "smallint", "serial", "bigserial", "smallserial", "int2", "int4", "int8") for k in kinds)
+
+
+def guarantees(schema: Schema, queries: list = (), blocks: list[set[str]] = (), transactions: bool = True, integer_ids: bool = True) -> list[tuple[str, str, object]]:
     """(node id, rule, subject) of every guarantee."""
     out: list[tuple[str, str, object]] = []
     for r in relationships(schema):
@@ -217,7 +252,7 @@ def guarantees(schema: Schema, queries: list = (), blocks: list[set[str]] = (),
             if not c.nullable:
                 out.append((f"not_null:{at}", "EQ-NOT-NULL", c))
             if c.identity:
-                out.append((f"identity:{at}", "EQ-AUTOINC", c))
+                out.append((f"identity:{at}", "EQ-AUTOINC", (c, integer_ids)))
             if c.default is not None:
                 out.append((f"default:{at}", "EQ-DEFAULT", c))
             if c.type in schema.enums:
@@ -227,12 +262,16 @@ def guarantees(schema: Schema, queries: list = (), blocks: list[set[str]] = (),
     for i, q in enumerate(queries):
         if not isinstance(q, Select):
             continue
-        for k, (kind, t, a, _) in enumerate(q.joins):
-            mine = ("col", a)
-            out.append((f"join:{i}.{k}", "EQ-JOIN", (kind, t, "null" in repr(q.where) and repr(mine)[1:-1] in repr(q.where))))
+        scope = {q.source[1] or q.source[0]: q.source[0]} if q.source else {}
+        scope |= {a or t: t for _, t, a, _ in q.joins}
+        left = {a or t for kind, t, a, _ in q.joins if kind == "left"}
+        for k, (kind, t, a, on) in enumerate(q.joins):
+            shown = any(_reads(x, a or t, scope, schema) for x, _ in q.items)
+            out.append((f"join:{i}.{k}", "EQ-JOIN", (kind, t, [u for b, u in scope.items() if b != (a or t)], repr(on), shown)))
         for k, (x, _) in enumerate(q.items):
             if x[0] == "call" and x[1] in ("count", "sum", "avg", "min", "max"):
-                out.append((f"agg:{i}.{k}", "EQ-AGG", (x[1], bool(q.group))))
+                of_left = any(_reads(x, b, scope, schema) for b in left)
+                out.append((f"agg:{i}.{k}", "EQ-AGG", (x[1], bool(q.group), _integral(x, scope, schema), of_left)))
     return out
 
 

@@ -71,8 +71,8 @@ SELECTS: dict[str, tuple] = {
     "filter_not_in_null": ("flat", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality NOT IN (1, NULL)"),
     "filter_between": ("flat", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12"),
     "filter_not_between": ("flat", "SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 45"),
-    "filter_like": ("flat", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'A%' OR p_type LIKE '%R_L%'"),
-    "filter_ilike": ("flat", "SELECT p_partkey FROM part WHERE p_name ILIKE '%1%' AND p_name NOT ILIKE 'PART%2'"),
+    "filter_like": ("flat", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%' OR p_type LIKE '%R_M%'"),
+    "filter_ilike": ("flat", "SELECT p_partkey FROM part WHERE p_name ILIKE '%E%' AND p_name NOT ILIKE 'RED%T'"),
     "filter_is_null": ("flat", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.toxic IS NOT NULL AND l.toxic = 1"),
     "filter_cross_column": ("flat", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < l_linenumber * 2"),
     "filter_date_literal": ("flat", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < TIMESTAMP '1997-02-01 00:00:00'"),
@@ -327,6 +327,13 @@ def diff_multiset(spark, d):
     return diff.multiset_diff(t, t.where("l_linenumber <> 3").unionByName(t.where("l_linenumber = 1"))).select("side", "n", "l_returnflag", F.col("l_linenumber").cast("long"))
 
 
+def diff_reals(spark, d):
+    """Of prices, a change by a rounding error is none; a change by a cent is one on both sides."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    moved = F.when(F.col("l_linenumber") == 1, F.col("price") + 0.01).when(F.col("l_linenumber") == 2, F.col("price") * (1 + 1e-12)).otherwise(F.col("price"))
+    return diff.multiset_diff(t, t.withColumn("price", moved)).select("side", "n", F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.round("price", 4).alias("price"))
+
+
 def diff_tolerant(spark, d):
     t = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
     moved = t.withColumn("b", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal") * (1 + 1e-12)))
@@ -361,7 +368,7 @@ _OTHERS = [
     flatten_roundtrip_orders, flatten_two_level, flatten_one_to_one, flatten_folded, nested_sizes, semi_orders_with_items, anti_orders_without_items, dml_insert_root, dml_insert_nested, dml_update_root,
     dml_update_nested, dml_update_two_level, dml_delete_root, dml_delete_nested, dml_delete_object, dml_addtoset, fk_cascade_delete, fk_set_null, fk_set_default, fk_restrict_blockers, fk_update_cascade,
     check_not_null, check_unique, check_unique_nullable, check_partial_unique, check_fk_orphans, check_domain, check_enum, check_length, check_nested_domain, check_audit, fanout_stats, doc_size_stats,
-    identity_gaps, upsert_rows, diff_multiset, diff_tolerant, rule_verdicts, placement_plan, guarantee_probes, seed_rows,
+    identity_gaps, upsert_rows, diff_multiset, diff_reals, diff_tolerant, rule_verdicts, placement_plan, guarantee_probes, seed_rows,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _select(n) for n in SELECTS} | {f.__name__: f for f in _OTHERS}
 
@@ -394,6 +401,7 @@ ORACLE: dict[str, str] = {n: s[-1] for n, s in SELECTS.items()} | {
     "doc_size_stats": "SELECT CAST(k AS INTEGER) AS items, COUNT(*) AS n FROM (SELECT COUNT(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) GROUP BY 1",
     "identity_gaps": "SELECT MAX(o_orderkey) - MIN(o_orderkey) + 1 - COUNT(DISTINCT o_orderkey) AS gaps, MAX(o_orderkey) AS next_after FROM orders",
     "upsert_rows": "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, n_name, n_regionkey FROM nation WHERE n_nationkey = 0",
+    "diff_reals": "WITH t AS (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem WHERE l_linenumber = 1) SELECT 'left' AS side, COUNT(*) AS n, l_orderkey, l_linenumber, ROUND(price, 4) AS price FROM t GROUP BY ALL UNION ALL SELECT 'right', COUNT(*), l_orderkey, l_linenumber, ROUND(price + 0.01, 4) FROM t GROUP BY ALL",
     "diff_multiset": "SELECT CASE WHEN l_linenumber = 1 THEN 'right' ELSE 'left' END AS side, COUNT(*) AS n, l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY 1, 3, 4",
     "diff_tolerant": "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0",
 }

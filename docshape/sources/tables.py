@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,24 @@ def _text_file(spark: SparkSession, path: str):
 
 
 def save(cat: Catalog, spark: SparkSession, folder: str) -> int:
-    """Writes all roots as a new version and then names it in the manifest, so that readers see all changes or none."""
-    version = current(spark, folder) + 1
+    """Writes all roots to a folder of their own and then names it in the next version's manifest, so that readers see all
+    changes or none.  What a crash left without a manifest is never read nor in the way; of two writers of one version the
+    second takes the next."""
+    data = uuid.uuid4().hex
     for t, df in cat.roots.items():
-        df.write.parquet(f"{folder}/v{version}/{t}")
-    p, fs = _text_file(spark, f"{folder}/manifest-{version}.json")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps({"version": version, "roots": sorted(cat.roots)}).encode()))
-    out.close()
-    return version
+        df.write.parquet(f"{folder}/{data}/{t}")
+    while True:
+        version = current(spark, folder) + 1
+        p, fs = _text_file(spark, f"{folder}/manifest-{version}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError:
+            if not fs.exists(p):
+                raise
+            continue
+        out.write(bytearray(json.dumps({"version": version, "data": data, "roots": sorted(cat.roots)}).encode()))
+        out.close()
+        return version
 
 
 def current(spark: SparkSession, folder: str) -> int:
@@ -62,5 +73,6 @@ def current(spark: SparkSession, folder: str) -> int:
 
 def load(schema: Schema, layouts, spark: SparkSession, folder: str, version: int | None = None) -> Catalog:
     v = version or current(spark, folder)
-    roots = {t: spark.read.parquet(f"{folder}/v{v}/{t}") for t, x in layouts.items() if x.kind == "root"}
+    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest-{v}.json").collect()))
+    roots = {t: spark.read.parquet(f"{folder}/{manifest['data']}/{t}") for t, x in layouts.items() if x.kind == "root"}
     return Catalog(schema, layouts, roots)

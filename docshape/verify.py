@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import DocshapeError, Schema
-from .operators.diff import multiset_diff, sample, same_multiset
+from .operators.diff import multiset_diff, same_multiset, same_order, sample
 from .operators.dml import execute
 from .operators.reshape import build_layouts, flatten, nest
 from .plans import guarantees, placement
@@ -62,6 +62,17 @@ def layouts_of(schema: Schema, plan: dict) -> dict:
     return build_layouts(schema, [i for i, d in plan.items() if d.decision == "EMBED" and i not in nullable], fold)
 
 
+def order_keys(q: Select) -> list[int]:
+    """The output columns that the leading ORDER BY keys are; rows that these do not tell apart may come in any order."""
+    keys: list[int] = []
+    for x, *_ in q.order:
+        at = [x[1] - 1] if x[0] == "lit" and isinstance(x[1], int) else [i for i, (y, alias) in enumerate(q.items) if y == x or alias and x[0] == "col" and x[-1] == alias]
+        if not at:
+            break
+        keys.append(at[0])
+    return keys
+
+
 def verify(spark: SparkSession, schema: Schema, layouts: dict, statements: list[str], tables: dict[str, DataFrame] | None = None, seed: int = 1, rows: int = 50) -> Report:
     """SELECTs first, then writes in order; after each write all tables are compared.  Both sides refusing is a match."""
     tables = tables or generate(spark, schema, seed, rows)
@@ -79,7 +90,12 @@ def verify(spark: SparkSession, schema: Schema, layouts: dict, statements: list[
             continue
         try:
             a, b = run_select(flat, sql, use_layout=False), run_select(nested, sql)
-            report.outcomes.append(Outcome(sql, "MATCH") if same_multiset(a, b) else Outcome(sql, "MISMATCH", str(sample(multiset_diff(a, b)))))
+            if not same_multiset(a, b):
+                report.outcomes.append(Outcome(sql, "MISMATCH", str(sample(multiset_diff(a, b)))))
+            elif q.order and len(q.items) == len(a.columns) and not same_order(a.collect(), b.collect(), order_keys(q)):
+                report.outcomes.append(Outcome(sql, "MISMATCH", "the order of the rows"))
+            else:
+                report.outcomes.append(Outcome(sql, "MATCH"))
         except DocshapeError as e:
             report.outcomes.append(Outcome(sql, "NOT_TRANSLATED", str(e)))
     for sql in writes:
