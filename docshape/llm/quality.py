@@ -132,12 +132,13 @@ def moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prior_from_tails(pos: np.ndarray, cuts: np.ndarray, above: list[int], total: int) -> float:
-    """The share of positives among ``total`` unlabelled rows of which ``above`` score at least ``cuts``: the least ratio of the tails, with a margin for chance."""
-    sp, margin, best = np.sort(pos), math.sqrt(math.log(4 / 0.1) / 2), 1.0
+    """The share of positives among ``total`` unlabelled rows of which ``above`` score at least ``cuts``: the ratio of the
+    tails at the cut where the ratio with a margin for chance is least.  The margin only chooses the cut; it is no part of the share."""
+    sp, margin, best = np.sort(pos), math.sqrt(math.log(4 / 0.1) / 2), (math.inf, 1.0)
     for cut, n in zip(cuts, above):
-        qp = 1 - np.searchsorted(sp, cut) / len(sp)
-        best = min(best, (n / max(1, total) + margin / math.sqrt(max(1, total)) * 0.5) / max(1e-9, qp))
-    return float(min(0.98, max(0.05, best)))
+        qp, qu = max(1e-9, 1 - np.searchsorted(sp, cut) / len(sp)), n / max(1, total)
+        best = min(best, ((qu + margin / math.sqrt(max(1, total)) * 0.5) / qp, qu / qp))
+    return float(min(0.98, max(0.05, best[1])))
 
 
 def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
