@@ -32,6 +32,14 @@ class Unique:
     name: str = ""
 
 
+@dataclass(frozen=True)
+class Index:
+    """A plain index: it guarantees nothing."""
+
+    columns: tuple[str, ...]
+    name: str = ""
+
+
 @dataclass(frozen=True)
 class Check:
     expr: object
@@ -47,6 +55,7 @@ class Table:
     foreign_keys: tuple[ForeignKey, ...] = ()
     uniques: tuple[Unique, ...] = ()
     checks: tuple[Check, ...] = ()
+    indexes: tuple[Index, ...] = ()
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)

@@ -91,3 +91,20 @@ def same_order(left: list[tuple], right: list[tuple], keys: list[int]) -> bool:
 def sample(diff: DataFrame, n: int = 5) -> list:
     """A few differing rows, left side first."""
     return diff.orderBy("side").limit(n).collect()
+
+
+def hypothesis(left: list, right: list, only_left: list, only_right: list, one_row: bool = False) -> str:
+    """The likely reason why two results differ, from their rows and those that only one of them has; empty if none is known.
+
+    ``one_row`` says that the query is an aggregate without groups, which has one row even over nothing."""
+    if one_row and (len(left), len(right)) in ((1, 0), (0, 1)):
+        return "an aggregate over nothing: one row on one side, none on the other"
+    if len(only_left) == len(only_right):
+        for a, b in ((x, y) for p, q in zip(only_left, only_right) for x, y in zip(p, q) if x != y):
+            if None in (a, b):
+                return "null on one side, zero on the other: an aggregate of no rows" if 0 in (a, b) else "null on one side only"
+            if all(isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) for v in (a, b)):
+                return "numbers of different exactness"
+    if len(left) != len(right):
+        return "different numbers of rows: a join or a filter takes nulls or missing values differently"
+    return ""

@@ -173,10 +173,41 @@ def delete(cat: Catalog, q: Delete) -> Catalog:
     return cat.with_root(root, docs.withColumn(x.path, new))
 
 
-def execute(cat: Catalog, *statements: str, checked: bool = True) -> Catalog:
-    """The catalog after all statements; if one fails none has happened.  ``checked`` is that of ``insert``."""
+def matched(cat: Catalog, q) -> int:
+    """The number of rows that a write is about: those that an INSERT gives, or that its condition selects."""
+    if isinstance(q, Insert):
+        return len(q.rows)
+    return flatten(cat, q.table).where(_hit(q.where, _resolver(cat, q.table))).count()
+
+
+def generated(cat: Catalog, q):
+    """An INSERT with the values of called defaults (a time, a random id) computed once and written out, so that several catalogs get
+    the same rows; other statements as they are."""
+    if not isinstance(q, Insert) or q.table not in cat.schema.tables:
+        return q
+    t = cat.schema.tables[q.table]
+    columns = list(q.columns or t.names())
+    spark = cat.roots[_root(cat, q.table)].sparkSession
+    rows = [list(r) for r in q.rows]
+    for c in t.columns:
+        if c.default is None or c.default[0] != "call" or c.identity:
+            continue
+        at = columns.index(c.name) if c.name in columns else None
+        if at is None:
+            columns.append(c.name)
+            rows = [[*r, None] for r in rows]
+            at = -1
+        for r in rows:
+            if r[at] is None:
+                v = spark.range(1).select(to_column(c.default, lambda n: None).cast(spark_type(c.type, c.size, c.array))).first()[0]
+                r[at] = ("cast", ("lit", str(v), "text"), (c.type, c.size))
+    return Insert(q.table, columns, rows)
+
+
+def execute(cat: Catalog, *statements, checked: bool = True) -> Catalog:
+    """The catalog after all statements (texts or parsed); if one fails none has happened.  ``checked`` is that of ``insert``."""
     for sql in statements:
-        q = parse_query(sql)
+        q = parse_query(sql) if isinstance(sql, str) else sql
         if getattr(q, "table", None) not in cat.schema.tables:
             raise DocshapeError("SEM012", "no such table, or not a write")
         cat = insert(cat, q, checked) if isinstance(q, Insert) else {Update: update, Delete: delete}[type(q)](cat, q)

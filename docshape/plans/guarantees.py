@@ -6,10 +6,11 @@ lists all guarantees of a schema with the verdict under given layouts.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from ..model import Layout, Schema, relationships
-from .sqlfront import Select
+from ..model import Layout, Schema, junctions, relationships
+from .sqlfront import Block, Select
 
 SAFE, CHANGED, BROKEN = "SAFE", "CHANGED", "BROKEN"
 RULES: dict[str, tuple] = {}
@@ -41,7 +42,16 @@ def worst(verdicts) -> str:
 
 
 def _embedded(x: Layout, rel) -> bool:
-    return x.kind != "root" and x.rel is not None and x.rel.id == rel.id
+    """Whether a relationship is the one that nests the child's rows; a folded junction only holds references."""
+    return x.kind in ("object", "array") and x.rel is not None and x.rel.id == rel.id
+
+
+def _repeats(table: str, layouts: dict[str, Layout]) -> bool:
+    """Whether one document may hold several rows of a table: no index over documents then keeps its keys."""
+    x = layouts[table]
+    while x.kind == "object":
+        x = layouts[x.host]
+    return x.kind != "root"
 
 
 @rule("EQ-REF-INTEGRITY", EMBEDDED=SAFE, REFERENCED=CHANGED)
@@ -92,7 +102,7 @@ def _entity(table, layouts, schema):
     kind = layouts[table.name].kind
     if kind.startswith("ref_"):
         return "PK_FOLDED"
-    if kind != "root":
+    if _repeats(table.name, layouts):
         return "PK_EMBEDDED"
     return "PK_SINGLE" if len(table.primary_key) == 1 else "PK_COMPOSITE"
 
@@ -100,7 +110,7 @@ def _entity(table, layouts, schema):
 @rule("EQ-VALUE-UNIQ", EMBEDDED=CHANGED, PARTIAL_UNTRANSLATABLE=CHANGED, NULLABLE=CHANGED, PARTIAL_OK=SAFE, UNIQUE_INDEX=SAFE)
 def _value_unique(node, layouts, schema):
     table, unique = node
-    if layouts[table.name].kind != "root":
+    if _repeats(table.name, layouts):
         return "EMBEDDED"
     if unique.where is not None:
         return "PARTIAL_OK" if simple(unique.where) else "PARTIAL_UNTRANSLATABLE"
@@ -109,11 +119,8 @@ def _value_unique(node, layouts, schema):
 
 @rule("EQ-CROSS-UNIQ", OWN_COLLECTION=SAFE, EMBEDDED=CHANGED, SPLIT=BROKEN)
 def _cross_unique(node, layouts, schema):
-    table, unique = node
-    x = layouts[table.name]
-    if x.kind == "root":
-        return "OWN_COLLECTION"
-    return "SPLIT" if set(unique.columns) & set(x.rel.fk.columns) and not set(x.rel.fk.columns) <= set(unique.columns) else "EMBEDDED"
+    kind = layouts[node.table].kind
+    return "OWN_COLLECTION" if kind == "root" else "SPLIT" if kind.startswith("ref_") else "EMBEDDED"
 
 
 @rule("EQ-NOT-NULL", VALIDATOR=SAFE)
@@ -132,7 +139,7 @@ def _check(node, layouts, schema):
 @rule("EQ-TYPE", EXACT=SAFE, LOSSY=CHANGED)
 def _type(node, layouts, schema):
     c = node
-    return "LOSSY" if c.type in LOSSY or c.type == "DECIMAL" and (len(c.size) != 2 or c.size[1] > 0) else "EXACT"
+    return "LOSSY" if c.type in LOSSY or c.type == "DECIMAL" and len(c.size) == 2 and c.size[1] > 0 else "EXACT"
 
 
 @rule("EQ-DEFAULT", CONSTANT=CHANGED, NOW=CHANGED, EXPRESSION=CHANGED)
@@ -177,10 +184,26 @@ def _join(node, layouts, schema):
 
 @rule("EQ-AGG", AGG_SAFE=SAFE, AGG_CHANGED=CHANGED)
 def _agg(node, layouts, schema):
-    name, grouped, integral, left_joined = node
-    if name == "avg":
-        return "AGG_CHANGED" if integral else "AGG_SAFE"
-    return "AGG_CHANGED" if name == "sum" and (not grouped or left_joined) else "AGG_SAFE"
+    grouped, calls = node
+    differs = [exact if name == "avg" else name == "sum" and (not grouped or left_joined) for name, exact, left_joined in calls]
+    return "AGG_CHANGED" if any(differs) else "AGG_SAFE"
+
+
+# What of this library does the work that a layout no longer does by itself.
+MITIGATIONS = {
+    "EQ-REF-INTEGRITY": "operators.dml.check_new", "EQ-CASCADE-DEL": "operators.dml.delete_rows", "EQ-SET-NULL": "operators.dml.delete_rows", "EQ-SET-DEFAULT": "operators.dml.delete_rows",
+    "EQ-RESTRICT": "operators.dml.delete_rows", "EQ-CASCADE-UPD": "operators.dml.update_key", "EQ-ENTITY-UNIQ": "operators.dml.check_new", "EQ-VALUE-UNIQ": "operators.dml.check_new",
+    "EQ-CROSS-UNIQ": "operators.dml.check_new", "EQ-CHECK": "operators.checks.audit", "EQ-DEFAULT": "operators.dml.insert", "EQ-AUTOINC": "operators.dml.insert", "EQ-ATOMIC": "operators.dml.execute",
+}
+
+
+def mitigations(found: list[Verdict]) -> dict[str, list[str]]:
+    """function: the nodes that are not SAFE and whose guarantee it keeps."""
+    out: dict[str, list[str]] = {}
+    for v in found:
+        if v.verdict != SAFE and v.rule in MITIGATIONS:
+            out.setdefault(MITIGATIONS[v.rule], []).append(v.node)
+    return out
 
 
 def simple(x) -> bool:
@@ -200,84 +223,124 @@ def translatable(x) -> bool:
     return True
 
 
-def _columns_of(x) -> list[tuple]:
-    """The column and star nodes of an expression."""
+_AGGREGATES = ("count", "sum", "avg", "min", "max")
+#: Types whose values are exact.
+_EXACT = ("SMALLINT", "INTEGER", "BIGINT", "DECIMAL")
+
+
+def _nodes(x, kinds: tuple[str, ...], below: bool = True) -> list[tuple]:
+    """The nodes of an expression of these kinds, outermost first; those within aggregates only if ``below``."""
     if not isinstance(x, (tuple, list)) or not x:
         return []
-    if x[0] in ("col", "star"):
-        return [tuple(x)]
-    return [c for y in x for c in _columns_of(y)]
+    out = [tuple(x)] if x[0] in kinds else []
+    if not below and x[0] == "call" and x[1] in _AGGREGATES:
+        return out
+    return out + [n for y in x for n in _nodes(y, kinds, below)]
+
+
+def _owner(c: tuple, scope: dict, schema: Schema) -> str | None:
+    """The alias that a column or star belongs to; None for a star of all."""
+    if c[1] is not None or c[0] == "star":
+        return c[1]
+    return next((b for b, t in scope.items() if c[2] in schema.tables[t].names()), None)
+
+
+def _shown(q: Select, scope: dict, schema: Schema) -> set[str]:
+    """The aliases of which a query shows columns as they are; what is only aggregated is not shown."""
+    out: set[str] = set()
+    for x, _ in q.items:
+        for c in _nodes(x, ("col", "star"), below=False):
+            b = _owner(c, scope, schema)
+            out |= set(scope) if c[0] == "star" and b is None else {b}
+    return out
 
 
-def _table_of(c: tuple, scope: dict, schema: Schema) -> str | None:
-    """The alias that a column node belongs to."""
-    given = [p for p in c[1:] if p in scope]
-    if given:
-        return given[0]
-    return next((b for b, t in scope.items() if c[-1] in schema.tables[t].names()), None)
+def _calls(q: Select, scope: dict, schema: Schema) -> list[tuple[str, bool, bool]]:
+    """(aggregate, whether it takes a column of an exact type, whether that is of a left-joined table) of every aggregate of a query."""
+    left = {a or t for kind, t, a, _ in q.joins if kind == "left"}
+    out = []
+    for x in [*[i for i, _ in q.items], q.having, *[o[0] for o in q.order]]:
+        for c in _nodes(x, ("call",)):
+            if c[1] not in _AGGREGATES:
+                continue
+            arg = c[2][0] if c[2] else ("star", None)
+            b = _owner(arg, scope, schema) if arg[0] == "col" else None
+            column = schema.tables[scope[b]].column(arg[2]) if b in scope else None
+            out.append((c[1], column is not None and column.type in _EXACT, b in left))
+    return out
+
 
+def tables_of(q) -> list[str]:
+    """The tables that a statement names."""
+    return [q.source[0], *[j[1] for j in q.joins]] if isinstance(q, Select) and q.source else [q.table] if not isinstance(q, Select) else []
 
-def _reads(x, alias: str, scope: dict, schema: Schema) -> bool:
-    """Whether an output expression shows a column of the table ``alias``."""
-    return any(c[0] == "star" and not [p for p in c[1:] if p in scope and p != alias] or c[0] == "col" and _table_of(c, scope, schema) == alias for c in _columns_of(x))
 
+def _named(queries) -> list:
+    """Parsed statements as (id, statement); pairs and blocks stay."""
+    return [q if isinstance(q, (tuple, Block)) else (f"q{i + 1}", q) for i, q in enumerate(queries)]
 
-def _integral(x, scope: dict, schema: Schema) -> bool:
-    """Whether all columns of an expression are of whole numbers."""
-    kinds = [schema.tables[scope[b]].column(c[-1]).type for c in _columns_of(x) if c[0] == "col" and (b := _table_of(c, scope, schema)) and c[-1] in schema.tables[scope[b]].names()]
-    return bool(kinds) and all(k.lower() in ("int", "integer", "bigint", "smallint", "serial", "bigserial", "smallserial", "int2", "int4", "int8") for k in kinds)
 
+def guarantees(schema: Schema, queries: list = (), transactions: bool = True, integer_ids: bool = True) -> list[tuple[str, str, object]]:
+    """(node id, rule, subject) of every guarantee.  ``queries`` are parsed statements, or the items of a script: (id, statement) and blocks.
 
-def guarantees(schema: Schema, queries: list = (), blocks: list[set[str]] = (), transactions: bool = True, integer_ids: bool = True) -> list[tuple[str, str, object]]:
-    """(node id, rule, subject) of every guarantee."""
+    Ids that would be given twice get a number."""
     out: list[tuple[str, str, object]] = []
-    for r in relationships(schema):
-        if r.parent not in schema.tables:
-            continue
-        out.append((f"ref_integrity:{r.id}", "EQ-REF-INTEGRITY", r))
-        by_action = {"CASCADE": "EQ-CASCADE-DEL", "SET NULL": "EQ-SET-NULL", "SET DEFAULT": "EQ-SET-DEFAULT", "RESTRICT": "EQ-RESTRICT", "NO ACTION": "EQ-RESTRICT"}
-        out.append((f"on_delete:{r.id}", by_action[r.fk.on_delete], r))
-        if r.fk.on_update == "CASCADE":
-            out.append((f"on_update:{r.id}", "EQ-CASCADE-UPD", r))
+    seen: dict[str, int] = {}
+
+    def add(node: str, rule: str, subject) -> None:
+        seen[node] = seen.get(node, 0) + 1
+        out.append((node if seen[node] == 1 else f"{node}#{seen[node]}", rule, subject))
+
+    on_delete = {"CASCADE": ("cascade_delete", "EQ-CASCADE-DEL"), "SET NULL": ("set_null", "EQ-SET-NULL"), "SET DEFAULT": ("set_default", "EQ-SET-DEFAULT"), "RESTRICT": ("restrict_delete", "EQ-RESTRICT"), "NO ACTION": ("restrict_delete", "EQ-RESTRICT")}
     for t in schema.tables.values():
-        if t.primary_key:
-            out.append((f"pk:{t.name}", "EQ-ENTITY-UNIQ", t))
-        for u in t.uniques:
-            out.append((f"unique:{t.name}.{','.join(u.columns)}", "EQ-CROSS-UNIQ" if len(u.columns) > 1 else "EQ-VALUE-UNIQ", (t, u)))
-        for i, c in enumerate(t.checks):
-            out.append((f"check:{t.name}.{i}", "EQ-CHECK", (t, c)))
         for c in t.columns:
             at = f"{t.name}.{c.name}"
-            out.append((f"type:{at}", "EQ-TYPE", c))
+            add(f"type:{at}", "EQ-TYPE", c)
             if not c.nullable:
-                out.append((f"not_null:{at}", "EQ-NOT-NULL", c))
-            if c.identity:
-                out.append((f"identity:{at}", "EQ-AUTOINC", (c, integer_ids)))
+                add(f"not_null:{at}", "EQ-NOT-NULL", c)
             if c.default is not None:
-                out.append((f"default:{at}", "EQ-DEFAULT", c))
+                add(f"default:{at}", "EQ-DEFAULT", c)
+            if c.identity:
+                add(f"auto_increment:{at}", "EQ-AUTOINC", (c, integer_ids))
             if c.type in schema.enums:
-                out.append((f"enum:{at}", "EQ-ENUM", c))
-    for i, b in enumerate(blocks):
-        out.append((f"atomic:{i}", "EQ-ATOMIC", (b, transactions)))
-    for i, q in enumerate(queries):
-        if not isinstance(q, Select):
+                add(f"enum:{at}", "EQ-ENUM", c)
+        if t.primary_key:
+            add(f"pk:{t.name}.{','.join(t.primary_key)}", "EQ-ENTITY-UNIQ", t)
+        for u in t.uniques:
+            add(f"unique:{t.name}.{','.join(u.columns)}", "EQ-VALUE-UNIQ", (t, u))
+        for c in t.checks:
+            add(f"check:{t.name}.{c.name or re.sub('[^0-9A-Za-z]+', '_', c.sql).strip('_')[:40]}", "EQ-CHECK", (t, c))
+    for r in relationships(schema):
+        if r.parent not in schema.tables:
             continue
-        scope = {q.source[1] or q.source[0]: q.source[0]} if q.source else {}
-        scope |= {a or t: t for _, t, a, _ in q.joins}
-        left = {a or t for kind, t, a, _ in q.joins if kind == "left"}
-        for k, (kind, t, a, on) in enumerate(q.joins):
-            shown = any(_reads(x, a or t, scope, schema) for x, _ in q.items)
-            out.append((f"join:{i}.{k}", "EQ-JOIN", (kind, t, [u for b, u in scope.items() if b != (a or t)], repr(on), shown)))
-        for k, (x, _) in enumerate(q.items):
-            if x[0] == "call" and x[1] in ("count", "sum", "avg", "min", "max"):
-                of_left = any(_reads(x, b, scope, schema) for b in left)
-                out.append((f"agg:{i}.{k}", "EQ-AGG", (x[1], bool(q.group), _integral(x, scope, schema), of_left)))
+        add(r.id, "EQ-REF-INTEGRITY", r)
+        kind, name = on_delete[r.fk.on_delete]
+        add(f"{kind}:{r.id.removeprefix('fk:')}", name, r)
+        if r.fk.on_update == "CASCADE":
+            add(f"cascade_update:{r.id.removeprefix('fk:')}", "EQ-CASCADE-UPD", r)
+    for j in junctions(schema):
+        add(f"cross_unique:{j.table}.{','.join(dict.fromkeys([*j.left.fk.columns, *j.right.fk.columns]))}", "EQ-CROSS-UNIQ", j)
+    for item in _named(queries):
+        if isinstance(item, Block):
+            tables = {t for _, q in item.statements for t in tables_of(q) if t in schema.tables}
+            if len(tables) > 1:
+                add(f"txn:{item.id}", "EQ-ATOMIC", (tables, transactions))
+        for i, q in item.statements if isinstance(item, Block) else [item]:
+            if not isinstance(q, Select) or not q.source or any(t not in schema.tables for t in tables_of(q)):
+                continue
+            scope = {q.source[1] or q.source[0]: q.source[0]} | {a or t: t for _, t, a, _ in q.joins}
+            shown = _shown(q, scope, schema)
+            for k, (kind, t, a, on) in enumerate(q.joins):
+                add(f"join:{i}#{k}", "EQ-JOIN", (kind, t, [u for b, u in scope.items() if b != (a or t)], repr(on), (a or t) in shown))
+            calls = _calls(q, scope, schema)
+            if calls or q.group:
+                add(f"aggregate:{i}", "EQ-AGG", (bool(q.group), calls))
     return out
 
 
-def verdicts(schema: Schema, layouts: dict[str, Layout], queries: list = (), blocks: list[set[str]] = (), transactions: bool = True) -> list[Verdict]:
+def verdicts(schema: Schema, layouts: dict[str, Layout], queries: list = (), transactions: bool = True, integer_ids: bool = True) -> list[Verdict]:
     out = []
-    for node, name, subject in guarantees(schema, queries, blocks, transactions):
+    for node, name, subject in guarantees(schema, queries, transactions, integer_ids):
         f, outcomes = RULES[name]
         o = f(subject, layouts, schema)
         out.append(Verdict(node, name, o, outcomes[o]))

@@ -65,6 +65,20 @@ def to_column(x, resolve) -> Column:
     return _convert(x, resolve)[0]
 
 
+def like_pattern(pattern: str, escape: str) -> str:
+    """A LIKE pattern with the escape character ``escape`` (or none) as one that escapes only %, _ and the backslash, by a backslash."""
+    out, rest = [], iter(pattern)
+    for ch in rest:
+        if ch == escape:
+            ch = next(rest, "")
+            if not ch:
+                raise DocshapeError("NOT_TRANSLATED", "a LIKE pattern must not end with its escape character")
+            out.append("\\" + ch if ch in "%_\\" else ch)
+        else:
+            out.append("\\\\" if ch == "\\" else ch)
+    return "".join(out)
+
+
 def _convert(x, resolve) -> tuple[Column, bool]:
     """(Column, whether it is integral)"""
     got = resolve(x)
@@ -105,7 +119,8 @@ def _convert(x, resolve) -> tuple[Column, bool]:
         if x[2][0] != "lit":
             raise DocshapeError("NOT_TRANSLATED", "a LIKE pattern must be a literal")
         c = _convert(x[1], resolve)[0]
-        c = c.ilike(x[2][1]) if x[3] else c.like(x[2][1])
+        pattern = like_pattern(x[2][1], x[5])
+        c = c.ilike(pattern) if x[3] else c.like(pattern)
         return (~c if x[4] else c), False
     if kind == "cast":
         base, size, array = (*x[2], False)[:3] if len(x[2]) == 2 else x[2]

@@ -12,9 +12,9 @@ from .model import Layout, Schema
 from .operators import checks, diff
 from .operators.dml import delete_rows, execute, update_key
 from .operators.reshape import Catalog, build_layouts, flatten, nest
-from .plans import guarantees, placement
+from .plans import documents, guarantees, placement
 from .plans.query import run_select
-from .plans.sqlfront import parse_query, parse_schema
+from .plans.sqlfront import parse_query, parse_schema, parse_script
 from .probes import run_probes
 from .sources import datagen
 from .sources.tables import children_of, parquet_tables, upsert
@@ -112,8 +112,8 @@ SELECTS: dict[str, tuple] = {
     "agg_order_hidden": ("flat", "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY COUNT(*) DESC, c_nationkey"),
     "agg_group_only": ("flat", "SELECT c_nationkey, c_mktsegment FROM customer GROUP BY c_nationkey, c_mktsegment"),
     "distinct_rows": ("flat", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
-    "sort_nulls_pg": ("flat", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 50", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 50"),
-    "sort_nulls_first": ("flat", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY 2 ASC NULLS FIRST, 1 DESC LIMIT 50"),
+    "sort_nulls_pg": ("flat", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id"),
+    "sort_nulls_first": ("flat", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY 2 ASC NULLS FIRST, 1 DESC"),
     "topk": ("flat", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "limit_offset": ("flat", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 30"),
 }
@@ -191,7 +191,7 @@ def dml_update_root(spark, d):
 
 
 def dml_update_nested(spark, d):
-    return flatten(execute(_items_catalog(spark, d), "UPDATE lineitem SET l_returnflag = 'X' WHERE l_quantity > 40 AND l_orderkey < 1000"), "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    return flatten(execute(_items_catalog(spark, d), "UPDATE lineitem SET l_returnflag = 'X' WHERE l_quantity > 40"), "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
 
 
 def dml_update_two_level(spark, d):
@@ -347,6 +347,47 @@ def rule_verdicts(spark, d):
     return spark.createDataFrame(rows, "layout string, node string, rule string, outcome string, verdict string")
 
 
+#: A schema, a workload and layouts in which every rule has every outcome.
+RULES_SQL = """CREATE TYPE mood AS ENUM ('up', 'down');
+CREATE TABLE p (id bigserial PRIMARY KEY, code varchar(9) NOT NULL UNIQUE, nick text UNIQUE, m mood NOT NULL DEFAULT 'up', d date, n int CHECK (n BETWEEN 0 AND 9), lo int, hi int, born timestamp DEFAULT now(), u uuid DEFAULT gen_random_uuid(),
+ CONSTRAINT span CHECK (lo < hi), CONSTRAINT loud CHECK (upper(nick) = nick), CONSTRAINT pc UNIQUE (code, n));
+CREATE UNIQUE INDEX ok ON p (n) WHERE n > 0;
+CREATE UNIQUE INDEX far ON p (lo) WHERE lower(nick) = 'x';
+CREATE TABLE c (id int PRIMARY KEY, p_id bigint NOT NULL REFERENCES p (id) ON DELETE CASCADE ON UPDATE CASCADE, w double precision, k int, UNIQUE (p_id, k));
+CREATE TABLE g (id int PRIMARY KEY, c_id int NOT NULL REFERENCES c (id) ON DELETE CASCADE);
+CREATE TABLE s (id int PRIMARY KEY, p_code varchar(9) REFERENCES p (code) ON DELETE SET NULL ON UPDATE CASCADE);
+CREATE TABLE f (id int PRIMARY KEY, p_id bigint DEFAULT 1 REFERENCES p (id) ON DELETE SET DEFAULT);
+CREATE TABLE r (id int PRIMARY KEY, p_id bigint NOT NULL REFERENCES p (id) ON DELETE RESTRICT);
+CREATE TABLE t (id int PRIMARY KEY);
+CREATE TABLE j (p_id bigint REFERENCES p (id), t_id int REFERENCES t (id), PRIMARY KEY (p_id, t_id));
+SELECT p.code FROM p JOIN c ON c.p_id = p.id;
+SELECT p.code FROM p LEFT JOIN c ON c.p_id = p.id;
+SELECT p.code, c.w FROM p LEFT JOIN c ON c.p_id = p.id;
+SELECT COUNT(*) FROM p;
+SELECT AVG(n) FROM p;
+BEGIN; DELETE FROM c; DELETE FROM p; COMMIT;"""
+_RULE_CASES = {
+    "flat": ([], {}, True, True), "no transactions": ([], {}, False, False), "child": (["fk:c.p_id->p.id"], {}, True, True), "folded": ([], {"j": "p"}, True, True), "bridge": (["fk:j.p_id->p.id"], {}, True, True),
+    "all": (["fk:c.p_id->p.id", "fk:g.c_id->c.id", "fk:s.p_code->p.code", "fk:f.p_id->p.id", "fk:r.p_id->p.id"], {}, True, True),
+}
+
+
+def rule_outcomes(spark, d):
+    """Every outcome that every rule has had over the cases, and its verdict."""
+    script = parse_script(RULES_SQL)
+    found = set()
+    for embed, fold, transactions, integer_ids in _RULE_CASES.values():
+        where = build_layouts(script.schema, embed, fold, allow_nullable=True)
+        found.update((v.rule, v.outcome, v.verdict) for v in guarantees.verdicts(script.schema, where, script.items, transactions, integer_ids))
+    return spark.createDataFrame(sorted(found), "rule string, outcome string, verdict string")
+
+
+def index_plan(spark, d):
+    """The indexes that the layout of items in orders in customers asks for."""
+    rows = [(i.root, ",".join(i.keys), i.unique, i.origin) for i in documents.indexes(schema(), layouts("deep"))]
+    return spark.createDataFrame(rows, "root string, keys string, is_unique boolean, origin string")
+
+
 def placement_plan(spark, d):
     names = [t for t in schema().tables if t != "partsupp"]
     counts = {t: df.count() for t, df in parquet_tables(spark, d, names).items()}
@@ -368,12 +409,12 @@ _OTHERS = [
     flatten_roundtrip_orders, flatten_two_level, flatten_one_to_one, flatten_folded, nested_sizes, semi_orders_with_items, anti_orders_without_items, dml_insert_root, dml_insert_nested, dml_update_root,
     dml_update_nested, dml_update_two_level, dml_delete_root, dml_delete_nested, dml_delete_object, dml_addtoset, fk_cascade_delete, fk_set_null, fk_set_default, fk_restrict_blockers, fk_update_cascade,
     check_not_null, check_unique, check_unique_nullable, check_partial_unique, check_fk_orphans, check_domain, check_enum, check_length, check_nested_domain, check_audit, fanout_stats, doc_size_stats,
-    identity_gaps, upsert_rows, diff_multiset, diff_reals, diff_tolerant, rule_verdicts, placement_plan, guarantee_probes, seed_rows,
+    identity_gaps, upsert_rows, diff_multiset, diff_reals, diff_tolerant, rule_verdicts, rule_outcomes, index_plan, placement_plan, guarantee_probes, seed_rows,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _select(n) for n in SELECTS} | {f.__name__: f for f in _OTHERS}
 
 _PAIRS = "SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem"
-_FLAG = "SELECT l_orderkey, l_quantity, CASE WHEN l_quantity > 40{} THEN 'X' ELSE l_returnflag END AS l_returnflag FROM lineitem"
+_FLAG = "SELECT l_orderkey, l_quantity, CASE WHEN l_quantity > 40 THEN 'X' ELSE l_returnflag END AS l_returnflag FROM lineitem"
 _COLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 ORACLE: dict[str, str] = {n: s[-1] for n, s in SELECTS.items()} | {
     "flatten_roundtrip_orders": f"SELECT {_COLS} FROM lineitem", "flatten_two_level": f"SELECT {_COLS} FROM lineitem", "flatten_one_to_one": "SELECT doc_id, quality, toxic FROM labels", "flatten_folded": _PAIRS,
@@ -382,7 +423,7 @@ ORACLE: dict[str, str] = {n: s[-1] for n, s in SELECTS.items()} | {
     "anti_orders_without_items": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "dml_insert_root": "SELECT * FROM nation UNION ALL SELECT 100, 'NOWHERE', 1 UNION ALL SELECT 101, 'ELSEWHERE', 2", "dml_insert_nested": "SELECT * FROM nation UNION ALL SELECT 100, 'NOWHERE', 1",
     "dml_update_root": "SELECT p_partkey, p_name, CASE WHEN p_size > 40 THEN 'NEW' ELSE p_brand END AS p_brand, p_type, CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS p_size, p_retailprice FROM part",
-    "dml_update_nested": _FLAG.format(" AND l_orderkey < 1000"), "dml_update_two_level": _FLAG.format(""), "dml_delete_root": "SELECT * FROM customer WHERE NOT c_acctbal < 0",
+    "dml_update_nested": _FLAG, "dml_update_two_level": _FLAG, "dml_delete_root": "SELECT * FROM customer WHERE NOT c_acctbal < 0",
     "dml_delete_nested": "SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag <> 'R'", "dml_delete_object": "SELECT doc_id, quality, toxic FROM labels WHERE toxic <> 1",
     "dml_addtoset": f"SELECT * FROM ({_PAIRS}) UNION SELECT 1, 1 UNION SELECT 1, 2",
     "fk_cascade_delete": "SELECT l_orderkey, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 3 GROUP BY l_orderkey",
@@ -403,6 +444,20 @@ ORACLE: dict[str, str] = {n: s[-1] for n, s in SELECTS.items()} | {
     "upsert_rows": "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, n_name, n_regionkey FROM nation WHERE n_nationkey = 0",
     "diff_reals": "WITH t AS (SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem WHERE l_linenumber = 1) SELECT 'left' AS side, COUNT(*) AS n, l_orderkey, l_linenumber, ROUND(price, 4) AS price FROM t GROUP BY ALL UNION ALL SELECT 'right', COUNT(*), l_orderkey, l_linenumber, ROUND(price + 0.01, 4) FROM t GROUP BY ALL",
     "diff_multiset": "SELECT CASE WHEN l_linenumber = 1 THEN 'right' ELSE 'left' END AS side, COUNT(*) AS n, l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY 1, 3, 4",
+    # The outcomes of each rule and their verdicts.
+    "rule_outcomes": """SELECT * FROM (VALUES ('EQ-REF-INTEGRITY', 'EMBEDDED', 'SAFE'), ('EQ-REF-INTEGRITY', 'REFERENCED', 'CHANGED'), ('EQ-CASCADE-DEL', 'EMBEDDED', 'SAFE'), ('EQ-CASCADE-DEL', 'REFERENCED', 'BROKEN'), ('EQ-CASCADE-DEL', 'CHAIN', 'BROKEN'),
+('EQ-CASCADE-UPD', 'EMBEDDED', 'SAFE'), ('EQ-CASCADE-UPD', 'IMMUTABLE_KEY', 'CHANGED'), ('EQ-CASCADE-UPD', 'MUTABLE_KEY', 'BROKEN'), ('EQ-SET-NULL', 'EMBEDDED', 'CHANGED'), ('EQ-SET-NULL', 'REFERENCED', 'BROKEN'),
+('EQ-SET-DEFAULT', 'EMBEDDED', 'CHANGED'), ('EQ-SET-DEFAULT', 'REFERENCED', 'BROKEN'), ('EQ-RESTRICT', 'EMBEDDED', 'CHANGED'), ('EQ-RESTRICT', 'REFERENCED', 'CHANGED'),
+('EQ-ENTITY-UNIQ', 'PK_SINGLE', 'SAFE'), ('EQ-ENTITY-UNIQ', 'PK_COMPOSITE', 'SAFE'), ('EQ-ENTITY-UNIQ', 'PK_FOLDED', 'CHANGED'), ('EQ-ENTITY-UNIQ', 'PK_EMBEDDED', 'CHANGED'),
+('EQ-VALUE-UNIQ', 'EMBEDDED', 'CHANGED'), ('EQ-VALUE-UNIQ', 'PARTIAL_UNTRANSLATABLE', 'CHANGED'), ('EQ-VALUE-UNIQ', 'NULLABLE', 'CHANGED'), ('EQ-VALUE-UNIQ', 'PARTIAL_OK', 'SAFE'), ('EQ-VALUE-UNIQ', 'UNIQUE_INDEX', 'SAFE'),
+('EQ-CROSS-UNIQ', 'OWN_COLLECTION', 'SAFE'), ('EQ-CROSS-UNIQ', 'EMBEDDED', 'CHANGED'), ('EQ-CROSS-UNIQ', 'SPLIT', 'BROKEN'), ('EQ-NOT-NULL', 'VALIDATOR', 'SAFE'),
+('EQ-CHECK', 'SAFE_JSONSCHEMA', 'SAFE'), ('EQ-CHECK', 'SAFE_EXPR', 'SAFE'), ('EQ-CHECK', 'UNTRANSLATABLE', 'CHANGED'), ('EQ-TYPE', 'EXACT', 'SAFE'), ('EQ-TYPE', 'LOSSY', 'CHANGED'),
+('EQ-DEFAULT', 'CONSTANT', 'CHANGED'), ('EQ-DEFAULT', 'NOW', 'CHANGED'), ('EQ-DEFAULT', 'EXPRESSION', 'CHANGED'), ('EQ-AUTOINC', 'OBJECTID', 'CHANGED'), ('EQ-AUTOINC', 'COUNTER', 'CHANGED'), ('EQ-ENUM', 'ENUM_LIST', 'SAFE'),
+('EQ-ATOMIC', 'SINGLE_DOCUMENT', 'SAFE'), ('EQ-ATOMIC', 'TRANSACTION', 'CHANGED'), ('EQ-ATOMIC', 'NO_TRANSACTION', 'BROKEN'), ('EQ-JOIN', 'INNER_EMBEDDED', 'SAFE'), ('EQ-JOIN', 'INNER_REFERENCED', 'SAFE'), ('EQ-JOIN', 'LEFT_CLEAN', 'SAFE'), ('EQ-JOIN', 'LEFT_NULLS', 'CHANGED'),
+('EQ-AGG', 'AGG_SAFE', 'SAFE'), ('EQ-AGG', 'AGG_CHANGED', 'CHANGED')) AS r (rule, outcome, verdict)""",
+    "index_plan": """SELECT * FROM (VALUES ('partsupp', 'ps_partkey,ps_suppkey', TRUE, 'pk:partsupp'), ('nation', 'n_regionkey', FALSE, 'fk:nation.n_regionkey->region.r_regionkey'), ('customer', 'c_nationkey', FALSE, 'fk:customer.c_nationkey->nation.n_nationkey'),
+('supplier', 's_nationkey', FALSE, 'fk:supplier.s_nationkey->nation.n_nationkey'), ('customer', 'orders.lineitem.l_partkey', FALSE, 'fk:lineitem.l_partkey->part.p_partkey'), ('customer', 'orders.lineitem.l_suppkey', FALSE, 'fk:lineitem.l_suppkey->supplier.s_suppkey'),
+('events', 'user_id', FALSE, 'fk:events.user_id->customer.c_custkey'), ('partsupp', 'ps_partkey', FALSE, 'fk:partsupp.ps_partkey->part.p_partkey'), ('partsupp', 'ps_suppkey', FALSE, 'fk:partsupp.ps_suppkey->supplier.s_suppkey')) AS i (root, keys, is_unique, origin)""",
     "diff_tolerant": "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0",
 }
 
