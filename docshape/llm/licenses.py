@@ -37,10 +37,12 @@ KNOWN = [
 def canonical(text: Column) -> Column:
     """The text in lower case without copyright lines and punctuation, spellings made equal, words parted by one space.  Null stays null."""
     lines = F.regexp_replace(F.lower(text), "(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright\\b|\\(c\\)|©)[^\\n]*(?:\\n|$)", "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(lines, "&", " and "), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+    # Two spaces between words while spellings are replaced: each word has borders of its own, so that neighbours are all found.
+    words = F.trim(F.regexp_replace(F.regexp_replace(lines, "&", " and "), "[^\\p{L}\\p{N}]+", " "))
+    out = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

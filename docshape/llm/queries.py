@@ -66,10 +66,14 @@ QUERIES = {
 def _canonical(x: str) -> str:
     """``licenses.canonical`` in SQL."""
     lines = f"regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright\\b|\\(c\\)|©)[^\\n]*(?:\\n|$)', '', 'g')"
-    out = f"' ' || trim(regexp_replace(replace({lines}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    words = f"trim(regexp_replace(replace({lines}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    # Word by word, phrases after words, unlike the operator's replacing of one spelling after the other.
+    single = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS if " " not in a) + "}"
+    out = f"array_to_string(list_transform(string_split({words}, ' '), lambda w: coalesce(element_at({single}, w)[1], w)), ' ')"
     for a, b in licenses.SPELLINGS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+        if " " in a:
+            out = "trim(replace(replace(' ' || replace({}, ' ', '  ') || ' ', ' {} ', ' {} '), '  ', ' '))".format(out, a.replace(" ", "  "), b.replace(" ", "  "))
+    return out
 
 
 def _quoted(x: str) -> str:

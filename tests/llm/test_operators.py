@@ -204,6 +204,20 @@ def test_token_counts(wide, none):
     assert token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_whole_texts(spark):
+    """The query's counts over a whole table equal those of the public library's unigram model with the same pieces and scores."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from docshape.llm import queries
+
+    pieces = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    known = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces], 0, False))
+    known.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(prepend_scheme="always")])
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r.n_tokens for r in queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: len(known.encode(t, add_special_tokens=False).ids) for i, t in texts.items()} and sum(got.values()) > 1000
+
+
 def test_packing(wide, none):
     from tokenizers import Tokenizer
 
@@ -433,6 +447,18 @@ def test_split_quotas():
     assert abs(draws.mean() - 30) < 0.3 and abs(draws.var() - 50 * 0.6 * 0.4 * 50 / 99) < 0.8
 
 
+def test_neighbouring_spellings_are_all_made_equal(spark):
+    import duckdb
+
+    from docshape.llm import queries
+
+    texts = ["the centre centre of", "licence licence, licence", "copyright owner copyright owner", "the copyright owner noncommercial noncommercial x", "Whilst & whilst", "centreß centre", "", "\n©  2020 y\nfavour"]
+    want = ["the center center of", "license license license", "", "the copyright holder non commercial non commercial x", "while and while", "centreß center", "", "favor"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", licenses.canonical(F.col("t")).alias("c")).orderBy("i")
+    assert [r.c for r in got.collect()] == want
+    assert [duckdb.execute(f"SELECT {queries._canonical('$1')}", [t]).fetchone()[0] for t in texts] == want
+
+
 def test_licences(spark, none):
     mit = licenses._MIT
     rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper()), (2, mit.replace("sublicense", "sublicence").replace(",", " ,") + "\n"), (3, mit + " more"), (4, "text\nReleased under the MIT license\nLicensed under CC-BY-NC-4.0"), (5, ""), (6, None), (2, mit), (None, mit)]
