@@ -204,6 +204,16 @@ def test_token_counts(wide, none):
     assert token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_parity_sketches_rule_no_near_pair_out():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for edits in (0, 1, n // 12, n // 9, n // 4, n):
+            b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, np.uint64)]))
+            apart = sum(int(x).bit_count() for x in (near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b)) and (not near_copies.alike(a, b) or 9 * apart <= len(a) + len(b))
+
+
 def test_token_counts_of_whole_texts(spark):
     """The query's counts over a whole table equal those of the public library's unigram model with the same pieces and scores."""
     from tokenizers import Tokenizer, models, pre_tokenizers
