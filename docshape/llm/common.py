@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import sys
 import tempfile
 import types
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 #: Tables written by this driver (session, path, name in the catalog if any), removed when it ends.
 _WRITTEN: list[tuple] = []
 
+#: Checkpoints from one sweep of the driver's garbage to the next.
+SWEEP = 3
+_CHECKPOINTS = itertools.count(1)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` if the session names one.
@@ -31,9 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing before it."""
+    """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing before it.
+
+    What was shuffled before it is needed no more, but its files stay until the driver collects its garbage, which a driver of
+    small work may not do for long: it is asked to now and then, so that rounds do not add up on disk."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_CHECKPOINTS) % SWEEP == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
