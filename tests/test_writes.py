@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docshape import queries
 from docshape.model import DocshapeError
 from docshape.operators import diff, dml
 from docshape.operators.reshape import build_layouts, flatten, nest
@@ -94,3 +95,14 @@ def test_verdicts_on_joins_and_aggregates():
         assert of(f"SELECT {call} FROM s", "EQ-AGG") == [f"AGG_{outcome}"]
     assert of("SELECT p.name, SUM(s.w) FROM p LEFT JOIN s ON s.p_id = p.id GROUP BY p.name", "EQ-AGG") == ["AGG_CHANGED"]
     assert of("SELECT s.n, SUM(s.w) FROM s GROUP BY s.n", "EQ-AGG") == ["AGG_SAFE"]
+
+
+def test_moved_prices_of_equal_keys_are_told_apart(spark, tmp_path):
+    """A price that another row of its keys had before the change is a change all the same, as the SQL has it."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, 1, 40712.38), (1, 1, 40712.39), (1, 1, 40712.39), (1, 1, 7.0), (1, 2, 5.0), (1, 2, 5.01), (2, 1, 3.00001), (2, 1, 3.00002), (2, 3, 4.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE["diff_reals"]).fetchall()
+    assert sorted(map(tuple, queries.diff_reals(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 8
