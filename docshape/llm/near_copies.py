@@ -1,19 +1,23 @@
-"""Classes of texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
-
-At 0.8 two SimHash values of 64 bits differ in about ten bits, which no block tables of workable number reach.  A text
-therefore gets BANDS fingerprints of its shingle set, each over the minima of ROWS hash orders: two sets of similarity s
-share one of them with probability 1 - (1 - s**ROWS)**BANDS, which at 0.8 leaves out fewer than one pair in ten million.
-Sets that share a fingerprint are compared whole, so no pair below 0.8 is ever linked.
-
-Comparisons run in rounds.  First each set is compared with the most central set of its bucket (one fingerprint's sets),
-the one that shares most buckets with others: a family of near copies so becomes one class with work linear in its
-members.  Of the buckets that then still hold several classes, a set can only be near another if enough of its shingles
-occur in any other set at all: what two sets share is at most the lesser of their counts of such shingles.  That bound is
-exact and rules out copies with many edits of their own and texts that only share a passage.  Pairs are ruled out by parity
-sketches: each shingle flips one of 512 bits, so two sketches differ in at most as many bits as the sets have shingles that
-only one of them holds, and near sets hold few of those.  In later rounds the remaining sets outside their bucket's largest class are compared with all sets of other classes that the bound allows, so
-many of them at a time as the round allows; the last round allows all.  Then every two sets of a bucket have been
-compared, are ruled out by their sizes or a bound, or are already in one class.
+"""Classes of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, by SimHash.
+
+Each set gets a SimHash of BITS_ALL bits: a bit is set if more than half of the shingles' hashes have it.  Two sets of
+similarity s differ in a bit with probability arccos(2s / (1 + s)) / pi or near it: 0.15 at 0.8, which is ten bits of 64 and
+more than block tables over 64 bits reach at a workable number.  So there are TABLES tables, each keyed by KEY bits drawn from
+the long fingerprint: sets of similarity 0.8 meet in one of them with a probability of about 0.9998, at 0.85 of 0.9999999.
+Sets that meet are compared by the Hamming distance of WORDS * 64 bits, whose bound lies eight deviations above a pair at 0.8 and
+five below unrelated sets; what passes is compared whole, so no pair below 0.8 is ever linked.
+
+In entries of at most PAIRWISE sets every pair is compared so, if not yet in one class.  Larger ones are families of near copies and are compared in
+rounds.  First each set is compared with the most central set of its entries, the one that shares most entries with others,
+then with its entries' most central sets that are in other classes and that its parity sketch allows: a family so becomes one class with work linear in its
+members.  Of the entries that then still hold several classes, a set can
+only be near another if enough of its shingles occur in any other set at all: what two sets share is at most the lesser of
+their counts of such shingles.  That bound is exact and rules out copies with many edits of their own and texts that only share
+a passage.  Pairs are ruled out by parity sketches: each shingle flips one of 512 bits, so two sketches differ in at most as many
+bits as the sets have shingles that only one of them holds, and near sets hold few of those.  In later rounds the remaining sets
+outside their entry's largest class are compared with all sets of other classes that the bound allows, so many of them at a
+time as the round allows; the last round allows all.  Then every two sets of an entry have been compared, are ruled out by
+their sizes or a bound, or are already in one class.
 """
 
 from __future__ import annotations
@@ -31,16 +35,25 @@ from pyspark.sql import Window as W
 from .common import checkpoint
 from .components import connected_components
 
-BANDS, ROWS = 32, 4
+#: Bits of a fingerprint, tables, and bits of a table's key.
+BITS_ALL, TABLES, KEY = 2048, 256, 20
+#: Longs of the part of a fingerprint whose Hamming distance is compared, and the most bits in which near sets may differ.
+WORDS, APART = 4, 88
+#: Entries of up to so many sets are compared pair by pair, larger ones in rounds.
+PAIRWISE = 32
 #: Sets outside its largest class that a bucket compares in the second round, and the factor of each later round.
 LEADERS, MORE = 16, 8
 #: Longs of a parity sketch, and their columns.
 SKETCH = 8
 BITS = [f"k{i}" for i in range(SKETCH)]
+PRINT = [f"f{i}" for i in range(WORDS)]
 _rng = np.random.Generator(np.random.PCG64(17))
-_XOR, _ODD = _rng.integers(0, 1 << 63, (2, 1, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR, _ODD = _rng.integers(0, 1 << 63, (2, 1, BITS_ALL // 64), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 11
+#: The bits of each table's key.
+_DRAWN = np.array([_rng.choice(BITS_ALL, KEY, replace=False) for _ in range(TABLES)])
+_WEIGHT = np.int64(1) << np.arange(KEY, dtype=np.int64)
+_TABLE = np.arange(TABLES, dtype=np.int64) << KEY
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -54,16 +67,21 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(words) - width + 1))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The BANDS fingerprints of a set."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), _CHUNK):
-        np.minimum(low, ((shingles[at : at + _CHUNK, None] ^ _XOR) * _ODD).min(0), out=low)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for column in low.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
+def simhash_bits(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashed shingles: BITS_ALL zeros and ones, one where more than half of the shingles have the bit."""
+    votes = np.zeros(BITS_ALL, np.int64)
+    for at in range(0, len(shingles), 255):
+        h = (shingles[at : at + 255, None] ^ _XOR) * _ODD
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        votes += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (votes * 2 > len(shingles)).astype(np.uint8)
+
+
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """A fingerprint's key in each table."""
+    return _TABLE + bits[_DRAWN] @ _WEIGHT
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -79,9 +97,12 @@ def _signer(width: int):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("_text").to_pylist()]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets)).view(np.int64)
-            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            bits = [simhash_bits(s) for s in sets]
+            prints = np.array([np.packbits(b[: 64 * WORDS], bitorder="little").view(np.int64) for b in bits], np.int64).reshape(-1, WORDS)
+            keys = pa.array([table_keys(b).astype(np.int32) for b in bits], pa.list_(pa.int32()))
             rest = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], names=[*rest, "node", "n", "bands"])
+            columns = [*map(batch.column, rest), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], keys]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "node", "n", *PRINT, "keys"])
 
     return run
 
@@ -101,9 +122,10 @@ def _verify(batches):
 
 
 def signatures(src: DataFrame, width: int) -> DataFrame:
-    """``src`` with, in place of the bytes ``_text``: node (the digest of its shingle set), n (the set's size) and bands."""
+    """``src`` with, in place of the bytes ``_text``: node (the digest of its shingle set), n (the set's size), the compared part of
+    its SimHash (f0, f1, ..) and its keys in the tables."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "_text")
-    return src.mapInArrow(_signer(width), f"{kinds}, node bigint, n bigint, bands array<bigint>")
+    return src.mapInArrow(_signer(width), f"{kinds}, node bigint, n bigint, {', '.join(f'{f} bigint' for f in PRINT)}, keys array<int>")
 
 
 def shingle_sets(src: DataFrame, width: int) -> DataFrame:
@@ -144,10 +166,22 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(_sketcher, "node bigint, " + ", ".join(f"{k} bigint" for k in BITS))
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, m): the sets (node, n, bands) that share a fingerprint with another, and how many share it."""
-    rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key").select("key", "node", "n", "m")
+def entries(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, m): the sets (node, n, keys) that share a table's entry with another, and how many share it."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    return rows.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("key"))).where("m > 1")
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the pairs of small entries whose fingerprints are near; and the rows of the ``entries`` that are larger."""
+    prints = nodes.select("node", *PRINT)
+    found = checkpoint(entries(nodes))
+    few = found.where(F.col("m") <= PAIRWISE).select("key", "node", "n").join(prints, "node")
+    other = few.select("key", F.col("node").alias("_b"), F.col("n").alias("_nb"), *[F.col(f).alias(f"_{f}") for f in PRINT])
+    apart = reduce(add, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"_{f}"))) for f in PRINT])
+    sized = F.least("n", "_nb") * 5 >= F.greatest("n", "_nb") * 4
+    pairs = few.join(other, "key").where((F.col("node") < F.col("_b")) & sized & (apart <= APART))
+    return checkpoint(pairs.select(F.col("node").alias("a"), F.col("_b").alias("b")).distinct()), found.where(F.col("m") > PAIRWISE)
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,43 +190,70 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(whole.mapInArrow(_verify, "a bigint, b bigint, near boolean"))
 
 
-def _classed(members: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes found so far, and ``members`` with the class of their node."""
-    found = checkpoint(connected_components(tried.where("near"))).toDF("node", "class")
-    return found, members.join(found, "node", "left").withColumn("class", F.coalesce("class", "node")).select(*members.columns, "class")
+def _linked(tried: DataFrame) -> DataFrame:
+    return checkpoint(connected_components(tried.where("near"))).toDF("node", "class")
+
+
+def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the class of their node."""
+    return members.join(found, "node", "left").withColumn("class", F.coalesce("class", "node")).select(*members.columns, "class")
 
 
-def classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def classes(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, class) of the nodes that are linked to another: the least node reached over pairs of similarity 0.8.
 
-    ``members`` are the ``buckets``, ``sets`` the (node, set) of all their nodes."""
+    ``pairs`` and ``members`` are the ``candidates``, ``sets`` the (node, set) of all their nodes."""
+    if members.isEmpty():
+        return _linked(_near(pairs, sets))
     sized = F.least("n", "_na") * 5 >= F.greatest("n", "_na") * 4
+    # |A ^ B| is at least the distance of the sketches, and a similarity of 0.8 needs 9 |A ^ B| <= |A| + |B|.
+    apart = reduce(add, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"_{k}"))) for k in BITS])
+    close = sized & (apart * 9 <= F.col("n") + F.col("_na"))
     degree = members.groupBy("node").agg(F.sum("m").alias("_d"))
+    drawn = checkpoint(sketches(sets).join(sets.select("node", F.expr("length(set) div 8").alias("_n")), "node"))
     centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("_d", "node", "n")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("_na"))
-    pairs = members.join(centre, "key").where((F.col("node") != F.col("a")) & sized)
-    tried = _near(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets)
-    found, held = _classed(members.select("key", "node", "n"), tried)
-    # What is left: buckets of several classes, and of them the sets that may be near any other set.
+    met = members.join(centre, "key").where((F.col("node") != F.col("a")) & sized).select("node", "n", "a", "_na").distinct()
+    other = drawn.join(degree, "node").select(F.col("node").alias("a"), "_d", *[F.col(k).alias(f"_{k}") for k in BITS])
+    central = checkpoint(met.join(drawn, "node").join(other, "a").where(close).select("node", "a", "_d"))
+    # Of its centres each set is compared with the most central one; then what met otherwise and is in different classes.
+    ends = [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
+    best = central.groupBy("node").agg(F.max(F.struct("_d", "a")).alias("h")).select("node", "h.a").select(*ends)
+    tried = _near(best.distinct(), sets)
+    found = _linked(tried)
+    view = checkpoint(_classed(drawn, found))
+    x = view.select(F.col("node").alias("a"), F.col("_n").alias("n"), "class", *BITS)
+    y = view.select(F.col("node").alias("b"), F.col("_n").alias("_na"), F.col("class").alias("_ca"), *[F.col(k).alias(f"_{k}") for k in BITS])
+    across = pairs.unionByName(central.select(*ends)).distinct().join(x, "a").join(y, "b").where((F.col("class") != F.col("_ca")) & close).select("a", "b")
+    done = _near(across.join(tried, ["a", "b"], "left_anti"), sets)
+    tried = tried.unionByName(done)
+    if not done.where("near").isEmpty():
+        found = _linked(tried)
+    held = _classed(members.select("key", "node", "n"), found)
+    # What is left: entries of several classes, and of them the sets that may be near any other set.
     mixed = held.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x <> _y").select("key")
     held = checkpoint(held.join(mixed, "key", "left_semi"))
+    if held.isEmpty():
+        return found
     open_nodes = checkpoint(held.select("node").distinct())
     open_sets = sets.join(open_nodes, "node", "left_semi")
     held = held.drop("class").join(unshared(open_sets), "node", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where("c * 5 >= n * 4").select("key", "node", "n", "c")
-    members, leaders = checkpoint(held.join(sketches(open_sets), "node").select("key", "node", "n", "c", *BITS)), LEADERS
+    members, leaders = checkpoint(held.join(drawn.drop("_n"), "node").select("key", "node", "n", "c", *BITS)), LEADERS
     while True:
-        found, held = _classed(members, tried)
-        held = checkpoint(held)
+        held = checkpoint(_classed(members, found))
         largest = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("_m")).groupBy("key").agg(F.max(F.struct("_m", "class")).alias("h"))
         outside = held.join(largest, "key").where(F.col("class") != F.col("h.class")).select("key", "node", "n", "c", *BITS, "class")
         outside = checkpoint(outside.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))))
         most = outside.agg(F.max("_r")).first()[0] or 0
+        if not most:
+            return found
         first = outside.where(F.col("_r") <= leaders).select("key", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("c").alias("_sa"), F.col("class").alias("_ca"), *[F.col(k).alias(f"_{k}") for k in BITS])
-        # |A & B| <= min(c, c'), and a similarity of 0.8 needs 9 |A & B| >= 4 (|A| + |B|), that is 9 |A ^ B| <= |A| + |B|.
-        apart = reduce(add, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"_{k}"))) for k in BITS])
-        fits = (F.col("_ca") != F.col("class")) & sized & (F.least("c", "_sa") * 9 >= (F.col("n") + F.col("_na")) * 4) & (apart * 9 <= F.col("n") + F.col("_na"))
-        pairs = held.join(first, "key").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        done = _near(pairs.join(tried, ["a", "b"], "left_anti"), sets)
+        # |A & B| <= min(c, c'), and a similarity of 0.8 needs 9 |A & B| >= 4 (|A| + |B|).
+        fits = (F.col("_ca") != F.col("class")) & close & (F.least("c", "_sa") * 9 >= (F.col("n") + F.col("_na")) * 4)
+        more = held.join(first, "key").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        done = _near(more.join(tried, ["a", "b"], "left_anti"), sets)
         tried = tried.unionByName(done)
+        if not done.where("near").isEmpty():
+            found = _linked(tried)
         if most <= leaders:
-            return checkpoint(connected_components(tried.where("near"))).toDF("node", "class")
+            return found
         leaders *= MORE

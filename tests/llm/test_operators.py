@@ -182,6 +182,31 @@ def test_keep_one_by_similarity(spark, monkeypatch, leaders):
     assert len(near) > 50 and sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted(least.values())
 
 
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """Fingerprints are majority votes, sets of similarity 0.8 meet in tables over them, and crowded entries lose no link."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 300, 700):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        ones = sum(near_copies.simhash_bits(a[i : i + 1]).astype(int) for i in range(n))
+        assert (near_copies.simhash_bits(a) == (2 * ones > n)).all()
+    for n, own in ((8, 1), (80, 10), (400, 50)):
+        a = rng.integers(0, 1 << 63, n + 2 * own, np.uint64)
+        x, y = near_copies.simhash_bits(a[: n + own]), near_copies.simhash_bits(a[own:])
+        assert (near_copies.table_keys(x) == near_copies.table_keys(y)).any() and (x != y)[: 64 * near_copies.WORDS].sum() <= near_copies.APART
+    monkeypatch.setattr(near_copies, "PAIRWISE", 2)
+    draw, texts = random.Random(6), []
+    for _ in range(3):
+        base = words(draw, 80).split()
+        for _ in range(12):
+            w = list(base)
+            w[draw.randrange(80)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    root = by_union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], KINDS)
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted({r: i for i, r in reversed(list(enumerate(root)))}.values())
+
+
 def test_repetition_of_long_texts():
     """The repetition feature follows one formula at every length."""
     for n in (19_990, 20_010):
