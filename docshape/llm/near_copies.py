@@ -1,23 +1,26 @@
 """Classes of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, by SimHash.
 
-Each set gets a SimHash of BITS_ALL bits: a bit is set if more than half of the shingles' hashes have it.  Two sets of
+First, texts that have no near copy are told by a sample: of each set the SAMPLE least hashed shingles.  Of the least ones of a
+union of two sets of similarity 0.8, four fifths on average are in both sets and in both samples, so a set is passed over if fewer
+than two fifths of its sample occur in any other sample: for a pair at exactly 0.8 that has a probability of at most two in ten
+million (by formula), less above, and none if the sets are no larger than the sample.  A shuffle of at most SAMPLE numbers a set; no pairs.
+
+Each set left gets a SimHash of BITS_ALL bits: a bit is set if more than half of the shingles' hashes have it.  Two sets of
 similarity s differ in a bit with probability arccos(2s / (1 + s)) / pi or near it: 0.15 at 0.8, which is ten bits of 64 and
 more than block tables over 64 bits reach at a workable number.  So there are TABLES tables, each keyed by KEY bits drawn from
 the long fingerprint: sets of similarity 0.8 meet in one of them with a probability of about 0.9998, at 0.85 of 0.9999999.
 Sets that meet are compared by the Hamming distance of WORDS * 64 bits, whose bound lies eight deviations above a pair at 0.8 and
-five below unrelated sets; what passes is compared whole, so no pair below 0.8 is ever linked.
-
-In entries of at most PAIRWISE sets every pair is compared so, if not yet in one class.  Larger ones are families of near copies and are compared in
-rounds.  First each set is compared with the most central set of its entries, the one that shares most entries with others,
-then with its entries' most central sets that are in other classes and that its parity sketch allows: a family so becomes one class with work linear in its
-members.  Of the entries that then still hold several classes, a set can
-only be near another if enough of its shingles occur in any other set at all: what two sets share is at most the lesser of
-their counts of such shingles.  That bound is exact and rules out copies with many edits of their own and texts that only share
-a passage.  Pairs are ruled out by parity sketches: each shingle flips one of 512 bits, so two sketches differ in at most as many
-bits as the sets have shingles that only one of them holds, and near sets hold few of those.  In later rounds the remaining sets
-outside their entry's largest class are compared with all sets of other classes that the bound allows, so many of them at a
-time as the round allows; the last round allows all.  Then every two sets of an entry have been compared, are ruled out by
-their sizes or a bound, or are already in one class.
+five below unrelated sets, and by parity sketches: each shingle flips one of 512 bits, so two sketches differ in at most as many
+bits as the sets have shingles that only one of them holds, and near sets hold few of those.  What passes both is compared whole,
+so no pair below 0.8 is ever linked.
+
+This goes in two steps, so that families of near copies are not expanded into pairs.  First each set is compared with the most
+central sets of its entries (those that share most entries with others), at most LEADERS of them, the ones that it meets most often:
+work linear in the sets, after which a family is one class or a few.  Then every two sets of an entry that are in different classes
+are compared: those outside their entry's largest class with all others, by distance and sketch within the join, and whole if they
+pass.  If that takes more than PAIRWISE comparisons a row, the sets are thinned out before: what two sets share is at most
+the number of their shingles that occur in any other set at all, an exact bound that rules out copies with many edits of their own.
+Then every two sets of an entry have been compared, are ruled out by a bound, or are in one class.
 """
 
 from __future__ import annotations
@@ -39,10 +42,14 @@ from .components import connected_components
 BITS_ALL, TABLES, KEY = 2048, 256, 20
 #: Longs of the part of a fingerprint whose Hamming distance is compared, and the most bits in which near sets may differ.
 WORDS, APART = 4, 88
-#: Entries of up to so many sets are compared pair by pair, larger ones in rounds.
+#: Least shingles of a set by which those without near copies are told.
+SAMPLE = 32
+#: Comparisons within entries, for each row of them, beyond which sets are thinned out by their shared shingles first.
 PAIRWISE = 32
-#: Sets outside its largest class that a bucket compares in the second round, and the factor of each later round.
-LEADERS, MORE = 16, 8
+#: Central sets that a set is compared with in the first step.
+LEADERS = 16
+#: Sets of a batch that a worker holds at a time.
+SLICE = 256
 #: Longs of a parity sketch, and their columns.
 SKETCH = 8
 BITS = [f"k{i}" for i in range(SKETCH)]
@@ -90,42 +97,44 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _signer(width: int):
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t, width) for t in batch.column("_text").to_pylist()]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets)).view(np.int64)
-            bits = [simhash_bits(s) for s in sets]
-            prints = np.array([np.packbits(b[: 64 * WORDS], bitorder="little").view(np.int64) for b in bits], np.int64).reshape(-1, WORDS)
-            keys = pa.array([table_keys(b).astype(np.int32) for b in bits], pa.list_(pa.int32()))
+            samples = pa.array([s[:SAMPLE].view(np.int64) for s in sets], pa.list_(pa.int64()))
             rest = [n for n in batch.schema.names if n != "_text"]
-            columns = [*map(batch.column, rest), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], keys]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "node", "n", *PRINT, "keys"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(nodes), samples], names=[*rest, "node", "sample"])
 
     return run
 
 
 def _setter(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("_text").to_pylist()], pa.binary())], names=["node", "set"])
 
     return run
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         sets = (map(lambda s: np.frombuffer(s, np.uint64), batch.column(c).to_pylist()) for c in ("sa", "sb"))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([alike(x, y) for x, y in zip(*sets)], pa.bool_())], names=["a", "b", "near"])
 
 
 def signatures(src: DataFrame, width: int) -> DataFrame:
-    """``src`` with, in place of the bytes ``_text``: node (the digest of its shingle set), n (the set's size), the compared part of
-    its SimHash (f0, f1, ..) and its keys in the tables."""
+    """``src`` with, in place of the bytes ``_text``: node (the digest of its shingle set) and sample (the set's least shingles)."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "_text")
-    return src.mapInArrow(_signer(width), f"{kinds}, node bigint, n bigint, {', '.join(f'{f} bigint' for f in PRINT)}, keys array<int>")
+    return src.mapInArrow(_signer(width), f"{kinds}, node bigint, sample array<bigint>")
 
 
 def shingle_sets(src: DataFrame, width: int) -> DataFrame:
@@ -142,13 +151,21 @@ def _shingle_rows(batches):
             yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(part))], names=["node", "s"])
 
 
-def unshared(sets: DataFrame) -> DataFrame:
-    """(node, u): of the ``sets`` that have some, the number of shingles that no other of them has.  A shuffle of counts by shingle."""
-    rows = sets.mapInArrow(_shingle_rows, "node bigint, s bigint")
+def unshared(rows: DataFrame) -> DataFrame:
+    """(node, u): of the sets (rows (node, s), distinct) that have some, the number of shingles that no other of them has.
+
+    A shuffle of counts by shingle: one that very many sets hold is counted before it moves."""
     alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
 
 
+def possible(first: DataFrame) -> DataFrame:
+    """(node): of the sets (node, sample), those that may have a near copy by their samples."""
+    k = F.size("sample")
+    alone = unshared(first.select("node", F.explode("sample").alias("s")))
+    return first.join(alone, "node", "left").where((k - F.coalesce("u", F.lit(0))) * 5 >= k * 2).select("node")
+
+
 def parities(shingles: np.ndarray) -> np.ndarray:
     """The parity sketch of a set, as SKETCH signed longs."""
     flips = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -156,32 +173,44 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketcher(batches):
-    for batch in batches:
-        rows = np.array([parities(np.frombuffer(s, np.uint64)) for s in batch.column("set").to_pylist()], np.int64).reshape(-1, SKETCH)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["node", *BITS])
+    for batch in _slices(batches):
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+        bits = [simhash_bits(s) for s in sets]
+        prints = np.array([np.packbits(b[: 64 * WORDS], bitorder="little").view(np.int64) for b in bits], np.int64).reshape(-1, WORDS)
+        flips = np.array([parities(s) for s in sets], np.int64).reshape(-1, SKETCH)
+        keys = pa.array([table_keys(b).astype(np.int32) for b in bits], pa.list_(pa.int32()))
+        columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in (*prints.T, *flips.T)], keys]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *PRINT, *BITS, "keys"])
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(node, k0, k1, ..): the parity sketch of each set."""
-    return sets.mapInArrow(_sketcher, "node bigint, " + ", ".join(f"{k} bigint" for k in BITS))
+    """(node, n, f0, f1, .., k0, k1, .., keys) of each set: its size, the compared part of its SimHash, its parity sketch and its keys in the tables."""
+    return sets.mapInArrow(_sketcher, f"node bigint, n bigint, {', '.join(f'{c} bigint' for c in (*PRINT, *BITS))}, keys array<int>")
 
 
 def entries(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, m): the sets (node, n, keys) that share a table's entry with another, and how many share it."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    return rows.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("key"))).where("m > 1")
+    """The ``sketches`` of sets that share a table's entry with another, with the keys of such entries only, and d: how many sets share them, in sum."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = rows.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("key"))).where("m > 1")
+    of_node = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("d"))
+    return checkpoint(nodes.drop("keys").join(of_node, "node"))
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): the pairs of small entries whose fingerprints are near; and the rows of the ``entries`` that are larger."""
-    prints = nodes.select("node", *PRINT)
-    found = checkpoint(entries(nodes))
-    few = found.where(F.col("m") <= PAIRWISE).select("key", "node", "n").join(prints, "node")
-    other = few.select("key", F.col("node").alias("_b"), F.col("n").alias("_nb"), *[F.col(f).alias(f"_{f}") for f in PRINT])
-    apart = reduce(add, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"_{f}"))) for f in PRINT])
-    sized = F.least("n", "_nb") * 5 >= F.greatest("n", "_nb") * 4
-    pairs = few.join(other, "key").where((F.col("node") < F.col("_b")) & sized & (apart <= APART))
-    return checkpoint(pairs.select(F.col("node").alias("a"), F.col("_b").alias("b")).distinct()), found.where(F.col("m") > PAIRWISE)
+def _close():
+    """Whether sets with the columns of ``sketches``, and the other's with a leading underscore, may be near by their sizes, prints and sketches."""
+    sized = F.least("n", "_n") * 5 >= F.greatest("n", "_n") * 4
+    print_apart, apart = (reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names]) for names in (PRINT, BITS))
+    # |A ^ B| is at least the distance of the sketches, and a similarity of 0.8 needs 9 |A ^ B| <= |A| + |B|.
+    return sized & (print_apart <= APART) & (apart * 9 <= F.col("n") + F.col("_n"))
+
+
+def _other(rows: DataFrame, *keep: str) -> DataFrame:
+    """``rows`` with a leading underscore to all columns but ``keep``."""
+    return rows.select(*keep, *[F.col(c).alias(f"_{c}") for c in rows.columns if c not in keep])
+
+
+def _ends():
+    return F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,66 +223,37 @@ def _linked(tried: DataFrame) -> DataFrame:
     return checkpoint(connected_components(tried.where("near"))).toDF("node", "class")
 
 
-def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with the class of their node."""
-    return members.join(found, "node", "left").withColumn("class", F.coalesce("class", "node")).select(*members.columns, "class")
-
-
-def classes(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, class) of the nodes that are linked to another: the least node reached over pairs of similarity 0.8.
-
-    ``pairs`` and ``members`` are the ``candidates``, ``sets`` the (node, set) of all their nodes."""
-    if members.isEmpty():
-        return _linked(_near(pairs, sets))
-    sized = F.least("n", "_na") * 5 >= F.greatest("n", "_na") * 4
-    # |A ^ B| is at least the distance of the sketches, and a similarity of 0.8 needs 9 |A ^ B| <= |A| + |B|.
-    apart = reduce(add, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"_{k}"))) for k in BITS])
-    close = sized & (apart * 9 <= F.col("n") + F.col("_na"))
-    degree = members.groupBy("node").agg(F.sum("m").alias("_d"))
-    drawn = checkpoint(sketches(sets).join(sets.select("node", F.expr("length(set) div 8").alias("_n")), "node"))
-    centre = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("_d", "node", "n")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("_na"))
-    met = members.join(centre, "key").where((F.col("node") != F.col("a")) & sized).select("node", "n", "a", "_na").distinct()
-    other = drawn.join(degree, "node").select(F.col("node").alias("a"), "_d", *[F.col(k).alias(f"_{k}") for k in BITS])
-    central = checkpoint(met.join(drawn, "node").join(other, "a").where(close).select("node", "a", "_d"))
-    # Of its centres each set is compared with the most central one; then what met otherwise and is in different classes.
-    ends = [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
-    best = central.groupBy("node").agg(F.max(F.struct("_d", "a")).alias("h")).select("node", "h.a").select(*ends)
-    tried = _near(best.distinct(), sets)
+def central(met: DataFrame) -> DataFrame:
+    """(node, _node): each set of the ``entries`` with the most central sets that it meets most often, LEADERS at most."""
+    rows = met.select(F.explode("keys").alias("key"), "node", "d")
+    centre = F.max(F.struct("d", "node")).over(W.partitionBy("key"))["node"]
+    often = rows.select("node", centre.alias("_node")).where("node <> _node").groupBy("node", "_node").agg(F.count(F.lit(1)).alias("_often"))
+    return often.withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("_often"), "_node"))).where(F.col("_r") <= LEADERS).select("node", "_node")
+
+
+def _across(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), distinct: the sets of one entry and different classes that may be near.  ``met`` are the ``entries`` with their class."""
+    rows = met.select(F.explode("keys").alias("key"), *[c for c in met.columns if c not in ("keys", "d")])
+    key, of_class = W.partitionBy("key"), W.partitionBy("key", "class")
+    rows = rows.withColumn("_m", F.count(F.lit(1)).over(of_class)).withColumn("_largest", F.max(F.struct("_m", "class")).over(key)).withColumn("_all", F.count(F.lit(1)).over(key))
+    # Of two different classes one at least is not the entry's largest.
+    rows = checkpoint(rows.where("_m < _all").withColumn("_outside", F.col("class") != F.col("_largest.class")).drop("_m", "_largest"))
+    work = rows.agg(F.sum(F.when(F.col("_outside"), F.col("_all"))).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+    if (work["pairs"] or 0) > PAIRWISE * work["rows"]:
+        held = sets.join(rows.select("node").distinct(), "node", "left_semi")
+        alone = unshared(held.mapInArrow(_shingle_rows, "node bigint, s bigint"))
+        rows = rows.join(alone, "node", "left").where((F.col("n") - F.coalesce("u", F.lit(0))) * 5 >= F.col("n") * 4).drop("u")
+    outside, rows = _other(rows.where("_outside").drop("_all", "_outside"), "key"), rows.drop("_all", "_outside")
+    return rows.join(outside, "key").where((F.col("class") != F.col("_class")) & _close()).select(*_ends()).distinct()
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(node, class) of the nodes that are linked to another: the least node reached over pairs of similarity 0.8.  ``sets`` are (node, set)."""
+    met = entries(sketches(sets))
+    drawn = met.drop("keys", "d")
+    pairs = central(met).join(drawn, "node").join(_other(drawn), "_node").where(_close()).select(*_ends()).distinct()
+    tried = _near(pairs, sets)
     found = _linked(tried)
-    view = checkpoint(_classed(drawn, found))
-    x = view.select(F.col("node").alias("a"), F.col("_n").alias("n"), "class", *BITS)
-    y = view.select(F.col("node").alias("b"), F.col("_n").alias("_na"), F.col("class").alias("_ca"), *[F.col(k).alias(f"_{k}") for k in BITS])
-    across = pairs.unionByName(central.select(*ends)).distinct().join(x, "a").join(y, "b").where((F.col("class") != F.col("_ca")) & close).select("a", "b")
-    done = _near(across.join(tried, ["a", "b"], "left_anti"), sets)
-    tried = tried.unionByName(done)
-    if not done.where("near").isEmpty():
-        found = _linked(tried)
-    held = _classed(members.select("key", "node", "n"), found)
-    # What is left: entries of several classes, and of them the sets that may be near any other set.
-    mixed = held.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x <> _y").select("key")
-    held = checkpoint(held.join(mixed, "key", "left_semi"))
-    if held.isEmpty():
-        return found
-    open_nodes = checkpoint(held.select("node").distinct())
-    open_sets = sets.join(open_nodes, "node", "left_semi")
-    held = held.drop("class").join(unshared(open_sets), "node", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where("c * 5 >= n * 4").select("key", "node", "n", "c")
-    members, leaders = checkpoint(held.join(drawn.drop("_n"), "node").select("key", "node", "n", "c", *BITS)), LEADERS
-    while True:
-        held = checkpoint(_classed(members, found))
-        largest = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("_m")).groupBy("key").agg(F.max(F.struct("_m", "class")).alias("h"))
-        outside = held.join(largest, "key").where(F.col("class") != F.col("h.class")).select("key", "node", "n", "c", *BITS, "class")
-        outside = checkpoint(outside.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("node"))))
-        most = outside.agg(F.max("_r")).first()[0] or 0
-        if not most:
-            return found
-        first = outside.where(F.col("_r") <= leaders).select("key", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("c").alias("_sa"), F.col("class").alias("_ca"), *[F.col(k).alias(f"_{k}") for k in BITS])
-        # |A & B| <= min(c, c'), and a similarity of 0.8 needs 9 |A & B| >= 4 (|A| + |B|).
-        fits = (F.col("_ca") != F.col("class")) & close & (F.least("c", "_sa") * 9 >= (F.col("n") + F.col("_na")) * 4)
-        more = held.join(first, "key").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        done = _near(more.join(tried, ["a", "b"], "left_anti"), sets)
-        tried = tried.unionByName(done)
-        if not done.where("near").isEmpty():
-            found = _linked(tried)
-        if most <= leaders:
-            return found
-        leaders *= MORE
+    classed = met.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    more = _near(_across(classed, sets).join(tried, ["a", "b"], "left_anti"), sets)
+    return found if more.where("near").isEmpty() else _linked(tried.unionByName(more))

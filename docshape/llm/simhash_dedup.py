@@ -88,27 +88,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     """``docs`` without near copies: of each class the row with the smallest id (null ids last; between rows of one
     id, the one with the smallest digest; of rows alike in every column, one).
 
-    A class is what pairs of texts link whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more: pairs come
-    from tables over SimHash fingerprints, pass by Hamming distance and are then compared whole (``near_copies``); null and empty texts are alike.  Columns may have any names and all come back; an empty table stays empty."""
+    A class is what pairs of texts link whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more: texts without
+    near copies are told by a sample of their shingles, pairs of the others come from tables over SimHash fingerprints, pass by
+    Hamming distance and are then compared whole (``near_copies``); null and empty texts are alike.  Columns may have any names and all come back; an empty table stays empty."""
     names = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_col, text = (f"c{names.index(n)}" for n in (id_col, text))
     parts = shuffle_partitions(docs.sparkSession)
     # Texts move once: both joins with them are on the digest that they are placed by.
     rows = placed(docs.withColumn("_row", F.xxhash64(*docs.columns)).repartition(parts, "_row"), "_row", parts)
-    signed = checkpoint(near_copies.signatures(rows.select(F.col(id_col).alias("_id"), "_row", binary_text(text).alias("_text")), width))
+    signed = near_copies.signatures(rows.select(F.col(id_col).alias("_id"), "_row", binary_text(text).alias("_text")), width)
     # The first row of each shingle set before the joins: copies of one text, however many, come to them as one row.
-    first = signed.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"), *[F.any_value(c).alias(c) for c in ("n", *near_copies.PRINT, "keys")])
+    first = signed.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("k"), F.any_value("sample").alias("sample"))
     first = checkpoint(first)
-    pairs, members = near_copies.candidates(first)
-    compared = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    compared = near_copies.possible(first)
+    first = first.drop("sample")
     # Joined by the digest alone, ids being compared after it: the rows then lie as dropDuplicates needs them.
     same = F.when(F.col(id_col).isNull(), F.col("_kept_id").isNull()).otherwise(F.col(id_col) == F.col("_kept_id"))
     shared = first.join(compared, "node").select("node", F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     texts = rows.select(id_col, "_row", binary_text(text).alias("_text")).join(shared, (F.col("_row") == F.col("_kept_row")) & same).select("node", "_text")
     # Placed by node, so that comparing pairs moves pairs and not all sets.
     sets = placed(near_copies.shingle_sets(texts, width).dropDuplicates(["node"]), "node", parts)
-    named = near_copies.classes(pairs, members, sets)
+    named = near_copies.classes(sets)
     kept = first.join(named, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("k").alias("k")).select(F.col("k.id").alias("_kept_id"), F.col("k.row").alias("_kept_row"))
     hit = rows.join(kept, (F.col("_row") == F.col("_kept_row")) & same, "left_semi")
     return hit.dropDuplicates(["_row", id_col]).select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)])

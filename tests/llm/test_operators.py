@@ -207,6 +207,50 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted({r: i for i, r in reversed(list(enumerate(root)))}.values())
 
 
+@pytest.mark.parametrize("pairwise", [32, 0])
+def test_near_copies_of_a_family_without_its_origin(spark, monkeypatch, pairwise):
+    """Copies of one text with few to many edits, the text itself not among them: classes by brute force, but neither a pair for every
+    two of them nor table rows for texts that share nothing."""
+    monkeypatch.setattr(near_copies, "PAIRWISE", pairwise)
+    draw, texts = random.Random(9), []
+    base = [f"b{draw.randrange(10**9)}" for _ in range(140)]
+    for _ in range(160):
+        w = list(base)
+        for _ in range(draw.randrange(1, 7)):
+            w[draw.randrange(140)] = f"x{draw.randrange(10**9)}" if draw.random() < 0.5 else "the"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{draw.randrange(10**9)}" for _ in range(60)) for _ in range(160)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = by_union(len(texts), near)
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    rows, compared, entries, whole = [], [], near_copies.entries, near_copies._near
+    monkeypatch.setattr(near_copies, "entries", lambda nodes: (rows.append(nodes.count()), entries(nodes))[1])
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, sets: (compared.append(pairs.count()), whole(pairs, sets))[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], KINDS).repartition(3)
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs).collect()) == sorted(least.values())
+    assert len(near) > 500 and len(least) > 180
+    assert max(rows) <= 160 and sum(compared) <= 160 * near_copies.LEADERS
+
+
+def test_samples_pass_over_no_near_copy(spark):
+    """Both sets of every pair at a similarity of 0.8 or just above may have a near copy by their samples; sets that share a passage only may not."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in [4, 5, 9, 20, 31, 32, 33, 40, 41, 64, 100, 400, 3000] * 12:
+        both, own = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n // 4, np.uint64)
+        cut = rng.integers(0, n // 4 + 1)
+        sets += [np.unique(np.concatenate([both, own[:cut]])), np.unique(np.concatenate([both, own[cut:]]))]
+        assert near_copies.alike(*sets[-2:])
+    passage = rng.integers(0, 1 << 63, 30, np.uint64)
+    lone = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 400, np.uint64)])) for _ in range(50)]
+    rows = [(i, s[: near_copies.SAMPLE].view(np.int64).tolist()) for i, s in enumerate(sets + lone)]
+    got = {r.node for r in near_copies.possible(spark.createDataFrame(rows, "node bigint, sample array<bigint>")).collect()}
+    assert got == set(range(len(sets)))
+
+
 def test_repetition_of_long_texts():
     """The repetition feature follows one formula at every length."""
     for n in (19_990, 20_010):
